@@ -100,8 +100,8 @@ def train(sample: DataFrame, p: Params = Params()) -> Model:
         model = fit([(own, label) for *_, own, label in examples], p)
         yield pa.RecordBatch.from_arrays([pa.array([model.index.tobytes()]), pa.array([model.weight.tobytes()]), pa.array([model.bias])], ["index", "weight", "bias"])
 
-    # The sample is bounded, and so is this one row.
-    row = sample.select("turn", "text", "label").coalesce(1).mapInArrow(run, "index binary, weight binary, bias double").first()
+    # The sample is bounded, and so is this one row. repartition: the scan that finds the sample stays distributed.
+    row = sample.select("turn", "text", "label").repartition(1).mapInArrow(run, "index binary, weight binary, bias double").first()
     if row is None:
         return Model(np.zeros(0, np.uint32), np.zeros(0, np.float32), 0.0, p.bits)
     return Model(np.frombuffer(row["index"], np.uint32), np.frombuffer(row["weight"], np.float32), row["bias"], p.bits)

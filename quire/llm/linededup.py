@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.tables import stored
+
 RATIO = 0.05
 LEAST = 3
 
@@ -39,7 +41,8 @@ def boilerplate(docs: DataFrame, ratio: float = RATIO, least: int = LEAST, text_
 
 def _cleaned(docs: DataFrame, ratio: float, least: int, text_col: str, host_col: str) -> DataFrame:
     """(document: struct of all columns, kept: the lines that stay)."""
-    hosts = boilerplate(docs, ratio, least, text_col, host_col)
+    # Written first, so that its size is known: a small table is broadcast, and texts are not shuffled.
+    hosts = stored(boilerplate(docs, ratio, least, text_col, host_col))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document"))
     rows = rows.join(hosts, F.col(f"document.`{host_col}`").eqNullSafe(F.col("host")), "left")
     dropped = lambda x: F.array_contains("lines", F.xxhash64(F.trim(x)))

@@ -31,3 +31,11 @@ def components(edges: DataFrame) -> DataFrame:
         two = one.join(jump, F.col("b") == F.col("v")).select("a", F.col("p").alias("b"))
         edges = stored(two.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if labels is None else labels
+
+
+def relabelled(labels: DataFrame, merged: DataFrame) -> DataFrame:
+    """Labels after some roots, and nodes without a label so far, have been merged: (node, root) of each."""
+    moved = merged.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    old = labels.join(moved, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"))
+    new = merged.join(labels.select("node"), "node", "left_anti")
+    return stored(old.union(new.select("node", "root")))

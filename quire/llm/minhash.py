@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import tokens
-from quire.llm.components import components
+from quire.llm.components import components, relabelled
 from quire.llm.tables import stored
 
 
@@ -50,9 +50,8 @@ class Params:
     bands: int = 32
     rows: int = 5
     seed: int = 1
-    #: Buckets of so few open members are compared at once; larger ones by pivots.
-    small: int = 24
-    pivots: int = 8
+    #: Pivots of a bucket in the first round of further comparisons; four times as many in each round after.
+    pivots: int = 16
 
 
 def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,31 +186,28 @@ def classes(docs: DataFrame, p: Params = Params(), text_col: str = "text") -> Da
     texts = docs.select(node(F.col(text_col)).alias("node"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     texts = stored(texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
 
-    pairs = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()  # the lead is the less
     tested = stored(pairs)
-    links = stored(_linked(tested, texts, p))
-    labels = components(links)
+    labels = components(_linked(tested, texts, p))
     # Members that have been compared with all others of their bucket leave it.
-    open_members = stored(members.where("node <> lead").select("bucket", "node"))
+    open_members, pivots = stored(members.where("node <> lead").select("bucket", "node")), p.pivots
     while True:
         rooted = open_members.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), *(F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"pivot{i}") for i in range(p.pivots))).where("low <> high")
-        mixed = mixed.select("bucket", "n", F.array_distinct(F.array(*(F.col(f"pivot{i}") for i in range(p.pivots)))).alias("pivots"))
-        rest = stored(rooted.join(mixed, "bucket"))
+        mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(pivots))).alias("one")).where("low <> high").select("bucket", "n", "one")
+        # About so many pivots of a bucket, one at least; of a small bucket all but one, which is all pairs.
+        lot = F.pmod(F.xxhash64("node", F.lit(-pivots)), F.lit(1 << 30)) / float(1 << 30)
+        rest = stored(rooted.join(mixed, "bucket").select("bucket", "node", "root", ((F.col("node") == F.col("one")) | (F.col("n") <= 2 * pivots) | (lot < F.lit(float(pivots)) / F.col("n"))).alias("pivot")))
         if not rest.take(1):
             return labels
-        few = rest.where(F.col("n") <= p.small)
-        left = few.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"))
-        right = few.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
-        some = left.join(right, "bucket").where("a < b and ra <> rb").select("a", "b")
-        many = rest.where(F.col("n") > p.small)
-        pivot_roots = many.where(F.array_contains("pivots", F.col("node"))).select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"))
-        more = many.join(pivot_roots, "bucket").where("node <> x and root <> rx").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
-        new = stored(some.union(more).distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-        tested = stored(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(new))
-        links = stored(links.union(_linked(new, texts, p)))
-        labels = components(links)
-        open_members = stored(rest.where((F.col("n") > p.small) & ~F.array_contains("pivots", F.col("node"))).select("bucket", "node"))
+        chosen = rest.where("pivot").select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"))
+        met = rest.join(chosen, "bucket").where("root <> rx and (node < x or not pivot)").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
+        new = stored(met.distinct().join(tested, ["a", "b"], "left_anti"))
+        tested = stored(tested.union(new))
+        merged = _linked(new, texts, p).join(labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+        merged = stored(merged.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+        if merged.take(1):
+            labels = relabelled(labels, components(merged))
+        open_members, pivots = stored(rest.where("not pivot").select("bucket", "node")), 4 * pivots
 
 
 def _rows(docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:

@@ -11,11 +11,11 @@ each shingle and k ln k for each document.
 
 32 bands of 5 coordinates make candidates (a pair at similarity 0.8 shares no
 band once in 3e5 pairs).  In each bucket all members are compared with the
-bucket's least member, by the exact Jaccard similarity of their shingle sets;
-what is linked becomes one component.  Only members of different components
-that have not been compared yet are compared further, with new pivots, until no
-bucket holds such a pair: no link is lost, and a large group of copies costs one
-comparison a member rather than all pairs.
+bucket's hub, the member that meets most others, by the exact Jaccard similarity
+of their shingle sets; what is linked becomes one component.  Only members of
+different components that have not been compared yet are compared further, with
+more pivots in each round, until no bucket holds such a pair: no link is lost, and
+a large group of copies costs one comparison a member rather than all pairs.
 
 A text is known by the first 64 bits of its MD5, so exact copies are one node.
 
@@ -50,8 +50,6 @@ class Params:
     bands: int = 32
     rows: int = 5
     seed: int = 1
-    #: Pivots of a bucket in the first round of further comparisons; four times as many in each round after.
-    pivots: int = 16
 
 
 def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,34 +178,38 @@ def classes(docs: DataFrame, p: Params = Params(), text_col: str = "text") -> Da
     """(node, root) of every text that is linked to a different one."""
     sketches = stored(_sketches(docs, text_col, p))
     members = sketches.select("node", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("bucket", "lead")
+    shared = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket")
     members = stored(members.join(shared, "bucket").distinct())
-    nodes = members.select("node").distinct()
     texts = docs.select(node(F.col(text_col)).alias("node"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    texts = stored(texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-
-    pairs = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()  # the lead is the less
-    tested = stored(pairs)
-    labels = components(_linked(tested, texts, p))
-    # Members that have been compared with all others of their bucket leave it.
-    open_members, pivots = stored(members.where("node <> lead").select("bucket", "node")), p.pivots
+    texts = stored(texts.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    # How many others a text meets: the original of many copies meets most of them.
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    weights = members.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("met"))
+    open_members = stored(members.join(weights, "node"))
+    tested = labels = None
+    pivots = 1
     while True:
-        rooted = open_members.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(pivots))).alias("one")).where("low <> high").select("bucket", "n", "one")
-        # About so many pivots of a bucket, one at least; of a small bucket all but one, which is all pairs.
-        lot = F.pmod(F.xxhash64("node", F.lit(-pivots)), F.lit(1 << 30)) / float(1 << 30)
-        rest = stored(rooted.join(mixed, "bucket").select("bucket", "node", "root", ((F.col("node") == F.col("one")) | (F.col("n") <= 2 * pivots) | (lot < F.lit(float(pivots)) / F.col("n"))).alias("pivot")))
+        rooted = open_members.withColumn("root", F.col("node")) if labels is None else open_members.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("bucket", "node", "met", F.coalesce("root", "node").alias("root"))
+        mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.max_by("node", F.struct("met", "node")).alias("hub")).where("low <> high").select("bucket", "n", "hub")
+        # The hub and some drawn members are pivots; of a small bucket all members are, which is all pairs.
+        lot = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(1 << 30)) / float(1 << 30)
+        drawn = F.lit(pivots > 1) & ((F.col("n") <= 2 * pivots) | (lot < F.lit(float(pivots)) / F.col("n")))
+        rest = stored(rooted.join(mixed, "bucket").select("bucket", "node", "met", "root", ((F.col("node") == F.col("hub")) | drawn).alias("pivot")))
         if not rest.take(1):
-            return labels
+            return stored(rooted.select("node", "root").limit(0)) if labels is None else labels
         chosen = rest.where("pivot").select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"))
-        met = rest.join(chosen, "bucket").where("root <> rx and (node < x or not pivot)").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
-        new = stored(met.distinct().join(tested, ["a", "b"], "left_anti"))
-        tested = stored(tested.union(new))
-        merged = _linked(new, texts, p).join(labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        merged = stored(merged.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-        if merged.take(1):
-            labels = relabelled(labels, components(merged))
-        open_members, pivots = stored(rest.where("not pivot").select("bucket", "node")), 4 * pivots
+        new = rest.join(chosen, "bucket").where("root <> rx and (node < x or not pivot)").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+        new = stored(new if tested is None else new.join(tested, ["a", "b"], "left_anti"))
+        tested = new if tested is None else stored(tested.union(new))
+        links = _linked(new, texts, p)
+        if labels is None:
+            labels = components(links)
+        else:
+            links = links.join(labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+            links = stored(links.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+            if links.take(1):
+                labels = relabelled(labels, components(links))
+        open_members, pivots = stored(rest.where("not pivot").select("bucket", "node", "met")), 4 * pivots
 
 
 def _rows(docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:

@@ -86,8 +86,7 @@ def families(seed, n, each, edits):
 
 def test_near_duplicate_classes_equal_all_pairs(spark):
     rows = families(1, 12, 25, 3)
-    p = minhash.Params(pivots=2)  # so that several rounds of pivots run
-    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs(spark, *((k, t, "en", "a") for k, t in rows)), p).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs(spark, *((k, t, "en", "a") for k, t in rows))).collect()}
     assert got == brute_classes(rows)
 
 

@@ -13,9 +13,11 @@ each shingle and k ln k for each document.
 band once in 3e5 pairs).  In each bucket all members are compared with the
 bucket's hub, the member that meets most others, by the exact Jaccard similarity
 of their shingle sets; what is linked becomes one component.  Only members of
-different components that have not been compared yet are compared further, with
-more pivots in each round, until no bucket holds such a pair: no link is lost, and
-a large group of copies costs one comparison a member rather than all pairs.
+different components that have not been compared yet are compared further.  They
+are dealt out anew by their rarest shingles (a prefix filter, which loses no pair of
+the threshold), and compared with more pivots in each round, until no bucket holds
+such a pair: no link is lost, a large group of copies costs one comparison a member
+rather than all pairs, and texts that only share a common passage are not compared.
 
 A text is known by the first 64 bits of its MD5, so exact copies are one node.
 
@@ -43,6 +45,10 @@ from quire.llm.components import components, relabelled
 from quire.llm.tables import stored
 
 
+#: Slots of counts by which shingles are ordered.
+SLOTS = 1 << 18
+
+
 @dataclass(frozen=True)
 class Params:
     words: int = 5
@@ -174,6 +180,50 @@ def _linked(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _prefixes(texts: DataFrame, p: Params) -> DataFrame:
+    """(bucket, node, size, place): the rarest shingles of each text, enough that similar texts share one.
+
+    Of a set of n, those are n - ceil(threshold * n) + 1 in any order that all texts
+    agree on.  The order is by counts in SLOTS hashed slots, then by hash, so shingles
+    of a passage that many texts hold come last.
+    """
+    shift = np.uint64(64 - SLOTS.bit_length() + 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for part in tokens.slices(batch, 0):
+                total += np.bincount((shingles(part.column(0), p.words)[0] >> shift).astype(np.int64), minlength=SLOTS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
+
+    counted = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    often = np.zeros(SLOTS, np.int64)
+    often[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tokens.slices(batch, 1):
+                own, first = shingles(part.column(1), p.words)
+                kept, size, total = [], [], []
+                for i in range(len(part)):
+                    u = np.unique(own[first[i] : first[i + 1]])
+                    n = len(u) - int(np.ceil(p.threshold * len(u) - 1e-9)) + 1
+                    kept.append(u[np.lexsort((u, often[(u >> shift).astype(np.int64)]))[:n]])
+                    size.append(len(kept[-1]))
+                    total.append(len(u))
+                place = np.concatenate([np.arange(1, n + 1) for n in size])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept).view(np.int64)), pa.array(np.repeat(np.asarray(part.column(0)), size)), pa.array(np.repeat(total, size)), pa.array(place)], ["bucket", "node", "size", "place"])
+
+    return texts.select("node", "text").mapInArrow(run, "bucket long, node long, size long, place long")
+
+
+def _weighted(members: DataFrame) -> DataFrame:
+    """Adds met: how many others a text meets. The original of many copies meets most of them."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    return stored(members.join(members.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("met")), "node"))
+
+
 def classes(docs: DataFrame, p: Params = Params(), text_col: str = "text") -> DataFrame:
     """(node, root) of every text that is linked to a different one."""
     sketches = stored(_sketches(docs, text_col, p))
@@ -182,34 +232,36 @@ def classes(docs: DataFrame, p: Params = Params(), text_col: str = "text") -> Da
     members = stored(members.join(shared, "bucket").distinct())
     texts = docs.select(node(F.col(text_col)).alias("node"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     texts = stored(texts.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    # How many others a text meets: the original of many copies meets most of them.
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
-    weights = members.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("met"))
-    open_members = stored(members.join(weights, "node"))
-    tested = labels = None
-    pivots = 1
+    labels = stored(members.select("node", F.col("node").alias("root")).limit(0))
+    tested = stored(members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    open_members, pivots, banded = _weighted(members.select("*", F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("place"))), 1, True
     while True:
-        rooted = open_members.withColumn("root", F.col("node")) if labels is None else open_members.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("bucket", "node", "met", F.coalesce("root", "node").alias("root"))
+        rooted = open_members.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("bucket", "node", "met", "size", "place", F.coalesce("root", "node").alias("root"))
         mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.max_by("node", F.struct("met", "node")).alias("hub")).where("low <> high").select("bucket", "n", "hub")
         # The hub and some drawn members are pivots; of a small bucket all members are, which is all pairs.
         lot = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(1 << 30)) / float(1 << 30)
         drawn = F.lit(pivots > 1) & ((F.col("n") <= 2 * pivots) | (lot < F.lit(float(pivots)) / F.col("n")))
-        rest = stored(rooted.join(mixed, "bucket").select("bucket", "node", "met", "root", ((F.col("node") == F.col("hub")) | drawn).alias("pivot")))
+        rest = stored(rooted.join(mixed, "bucket").select("bucket", "node", "met", "size", "place", "root", ((F.col("node") == F.col("hub")) | drawn).alias("pivot")))
         if not rest.take(1):
-            return stored(rooted.select("node", "root").limit(0)) if labels is None else labels
-        chosen = rest.where("pivot").select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"))
-        new = rest.join(chosen, "bucket").where("root <> rx and (node < x or not pivot)").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-        new = stored(new if tested is None else new.join(tested, ["a", "b"], "left_anti"))
-        tested = new if tested is None else stored(tested.union(new))
-        links = _linked(new, texts, p)
-        if labels is None:
-            labels = components(links)
+            return labels
+        chosen = rest.where("pivot").select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("size").alias("sx"), F.col("place").alias("px"))
+        # If this is the first shingle that two prefixes share, no more than what follows it can be shared besides.
+        enough = F.lit(banded) | (1 + F.least(F.col("size") - F.col("place"), F.col("sx") - F.col("px")) >= p.threshold / (1 + p.threshold) * (F.col("size") + F.col("sx")) - 1e-6)
+        new = rest.join(chosen, "bucket").where("root <> rx and (node < x or not pivot)").where(enough).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+        new = stored(new.join(tested, ["a", "b"], "left_anti"))
+        tested = stored(tested.union(new))
+        links = _linked(new, texts, p).join(labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+        links = stored(links.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+        if links.take(1):
+            labels = relabelled(labels, components(links))
+        open_members = stored(rest.where("not pivot").select("bucket", "node", "met", "size", "place"))
+        if banded:
+            # What the hubs leave goes on by rare shingles: texts that share a common passage alone don't meet there.
+            banded = False
+            left = open_members.select("node").distinct()
+            open_members = _weighted(stored(_prefixes(texts.join(left, "node", "left_semi"), p)))
         else:
-            links = links.join(labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-            links = stored(links.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-            if links.take(1):
-                labels = relabelled(labels, components(links))
-        open_members, pivots = stored(rest.where("not pivot").select("bucket", "node", "met")), 4 * pivots
+            pivots *= 8
 
 
 def _rows(docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:

@@ -22,11 +22,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import tokens
-from quire.llm.tables import remainder
+from quire.llm.tables import remainder, stored
 
 UNKNOWN = "und"
 
@@ -94,20 +94,15 @@ def train(docs: DataFrame, p: Params = Params(), held_out: tuple[int, int] | Non
         rows = rows.where(remainder(F.col(id_col), held_out[0]) != held_out[1])
     per = rows.groupBy(F.col(lang_col).alias("lang")).count()
     u = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    share = per.select(F.col("lang").alias("_l"), (F.lit(float(p.max_rows)) / F.col("count")).alias("_share"))
+    # Written first, so that its size is known: one row a language is broadcast, and texts are not shuffled.
+    share = stored(per.select(F.col("lang").alias("_l"), (F.lit(float(p.max_rows)) / F.col("count")).alias("_share")))
     sample = rows.join(share, F.col(lang_col) == F.col("_l")).where(u < F.col("_share")).select(F.col(text_col).alias("text"), F.col("_l").alias("lang"))
     counts = _counted(sample, p)
-    counts = counts.withColumn("share", F.col("count") / F.sum("count").over(_by_profile()))
+    counts = counts.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy("lang", "n")))  # profiles of a bounded sample
     kept = counts.where(F.col("share") >= p.least_share).select("lang", "gram").collect()  # languages x lengths / least_share rows at most
     return build([(r["lang"], r["gram"]) for r in kept], p)
 
 
-def _by_profile():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("lang", "n")  # profiles of a bounded sample
-
-
 def build(profile: list[tuple[str, int]], p: Params) -> Filter:
     languages = sorted({lang for lang, _ in profile})
     by = {lang: np.array([g for x, g in profile if x == lang], np.int64).view(np.uint64) for lang in languages}

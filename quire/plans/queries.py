@@ -19,6 +19,7 @@ from quire.operators import repair as P
 from quire.operators import summary as S
 from quire.plans import views as V
 from quire.plans.sql import strip, with_views
+from quire.sources import sinks as K
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -243,15 +244,12 @@ def dangling_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NOW = "1998-01-01 00:00:00"
 
 
-@query(f"SELECT bundle_path||'/conversion.json' AS path FROM conversions WHERE state = 'running' AND try_cast(submitted_at AS TIMESTAMPTZ) IS NOT NULL AND epoch(TIMESTAMP '{_NOW}') - epoch(strptime(submitted_at, '%Y-%m-%dT%H:%M:%SZ')) > 1800", "conversions")
+@query(f"SELECT bundle_path||'/conversion.json' AS path FROM conversions WHERE state = 'running' AND epoch(TIMESTAMP '{_NOW}') - epoch(try_strptime(submitted_at, '%Y-%m-%dT%H:%M:%SZ')) > 1800", "conversions")
 def stale_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.running_issues(V.conversions(spark, sf_dir), F.lit(_NOW).cast("timestamp")).where("code = 'stale-running-conversion'").select("path")
 
 
-ORACLES["stale_running"] = with_views(f"SELECT bundle_path||'/conversion.json' AS path FROM conversions WHERE state = 'running' AND epoch(TIMESTAMP '{_NOW}') - epoch(try_strptime(submitted_at, '%Y-%m-%dT%H:%M:%SZ')) > 1800", "conversions")
-
-
-@query("SELECT CASE WHEN converter = 'batch-api' AND (batch_id IS NULL OR data_id IS NULL) THEN bundle_path||'/conversion.json' END AS path FROM conversions WHERE state = 'running' AND converter = 'batch-api' AND (batch_id IS NULL OR data_id IS NULL)", "conversions")
+@query("SELECT bundle_path||'/conversion.json' AS path FROM conversions WHERE state = 'running' AND converter = 'batch-api' AND (batch_id IS NULL OR data_id IS NULL)", "conversions")
 def batch_mapping_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.running_issues(V.conversions(spark, sf_dir), F.lit(_NOW).cast("timestamp")).where("code = 'missing-batch-conversion-mapping'").select("path")
 
@@ -730,3 +728,37 @@ def json_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "documents").select("doc_id", F.when(raw.isNotNull(), F.try_parse_json(raw).isNotNull()).alias("valid"))
 
 
+
+
+# Sinks.
+
+
+@query("SELECT paper_id, count(*) AS blocks, string_agg(block_id||'='||section_id, '|' ORDER BY block_id) AS sections FROM sblocks GROUP BY paper_id", "sblocks")
+def block_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = K.block_index(_sections(spark, sf_dir))
+    entries = F.transform(F.array_sort(F.map_entries("sections")), lambda x: F.concat_ws("=", x["key"], x["value"]))
+    return rows.select("paper_id", F.size("sections").cast("long").alias("blocks"), F.array_join(entries, "|").alias("sections"))
+
+
+@query("SELECT paper_id, string_agg('## '||section_id||chr(10)||chr(10)||summary, chr(10)||chr(10) ORDER BY pos)||chr(10) AS markdown FROM ssections WHERE summary <> '' GROUP BY paper_id", "ssections")
+def summary_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.summary_markdown(_sections(spark, sf_dir).withColumn("heading", F.col("section_id")))
+
+
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN source WHEN 1 THEN source||'/sub' WHEN 2 THEN source WHEN 3 THEN '__root__' ELSE '' END AS collection FROM documents")
+def collection_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, s = F.col("doc_id") % 5, F.col("source")
+    raw = F.when(m == 0, F.concat(F.lit(" collections/"), s, F.lit("/ "))).when(m == 1, F.concat(F.lit("/"), s, F.lit("/sub/notes.md"))).when(m == 2, F.concat(F.lit("collections/"), s, F.lit("/_memory/collection-memory.json"))).when(m == 3, F.lit("collections")).otherwise(F.lit(" / "))
+    return V.table(spark, sf_dir, "documents").select("doc_id", L.memory_collection(raw).alias("collection"))
+
+
+@query("SELECT count(*) FILTER (NOT has_pdf) AS before, count(*) FILTER (conversion = 'failed') AS after, count(*) FILTER (NOT has_pdf) = 0 AND count(*) FILTER (conversion = 'failed') = 0 AS ok FROM papers", "papers")
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = V.papers(spark, sf_dir)
+    return K.validation_report(papers.where("not has_pdf"), papers.where("conversion = 'failed'"))
+
+
+@query("SELECT 'run:'||user_id AS run_id, min(ts) AS began, max(ts) AS ended, count(*) AS events, bool_or(event_type = 'purchase') AS finished FROM events GROUP BY user_id")
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = V.table(spark, sf_dir, "events").select(F.concat(F.lit("run:"), "user_id").alias("run_id"), F.col("ts").alias("at"), F.when(F.col("event_type") == "purchase", "run-finished").otherwise("paper-started").alias("event"))
+    return K.run_report(runs)

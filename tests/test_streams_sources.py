@@ -99,3 +99,15 @@ def test_provider_errors_are_rows(spark):
     df = spark.createDataFrame([("1", json.dumps({"blocks": [{"block_id": "b", "text": "t"}]}))], "request_id string, messages string")
     assert json.loads(answered(df, EchoProvider(), "block-summary", at_once=2).first()["answer"])["blocks"][0]["summary_text"] == "t"
     assert answered(df, Fails(), "block-summary", wait=0).first()["error"] == "no"
+
+
+def test_sinks(spark, tmp_path):
+    from quire.sources import sinks as K
+
+    K.init_library(spark, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/memory_state").count() == 0
+    root = spark.range(1).select(K.collection_root(F.lit("a//./../b/")).alias("x"), K.memory_folder(F.lit("__root__")).alias("y")).first()
+    assert (root["x"], root["y"]) == ("a/b", "_memory/collections/__root__")
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    K.replace_with_history(df.withColumn("v", F.lit("b")), df, f"{tmp_path}/t", f"{tmp_path}/h", F.lit("now"))
+    assert (spark.read.parquet(f"{tmp_path}/t").first()["v"], spark.read.parquet(f"{tmp_path}/h").first()["v"]) == ("b", "a")

@@ -69,7 +69,7 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Element:
-    __slots__ = ("above", "tag", "path", "other", "depth", "semantic", "heading")
+    __slots__ = ("above", "tag", "path", "other", "depth", "semantic")
 
     def __init__(self, above: Element | None, tag: str, path: int, other: bool, semantic: bool):
         self.above, self.tag, self.path, self.other, self.semantic = above, tag, path, other, semantic

@@ -6,10 +6,12 @@ Over all blocks of a path, text length and punctuation outside links are summed
 and divided by the blocks of that path: two ratios.  The ratios are laid out in
 page order, smoothed with a Gaussian, multiplied, and paths whose mean fused ratio
 passes the threshold (a share of the standard deviation, at most of the mean) are
-content paths.  The content is what stands in the narrowest element that holds
-most text of content paths, without parts that are marked as something else:
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-comments, by element, role, class or id.
+content paths.  The content is every block of a content path, and its neighbours:
+what stands in the narrowest element that holds most text of content paths or in an
+article or main element that holds some, and what stands beside these in the same
+container.  Parts that are marked as something else are left out: menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles and comments, by element,
+role, class or id.
 
 Blocks come in page order, joined by an empty line; white space inside a block is
 one space; character references are decoded.
@@ -40,7 +42,7 @@ class Params:
     width: float = 1.0
     #: Paths pass at this share of the deviation of fused ratios, or of their mean if that is less.
     share: float = 0.5
-    #: The content element holds at least this share of the text of content paths.
+    #: The element whose blocks are all kept holds at least this share of the text of content paths.
     coverage: float = 0.85
     #: Blocks with a larger share of text in links are no content.
     most_links: float = 0.6
@@ -59,6 +61,8 @@ MARKS = frozenset(
 )
 #: Elements whose own marks count less than what they are.
 KEPT = frozenset("html body main".split())
+#: Elements that hold texts; all others are parts of one.
+HOLDERS = frozenset("html body main article section div".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>]|$)""", re.I)
@@ -252,18 +256,40 @@ def main_text(page: str | None, p: Params = Params()) -> str:
             e = e.above
     need = p.coverage * sum(b.chars for b in chosen)
     box = max((e for e, n in inside.items() if n >= need), key=lambda e: (e.depth, inside[e]))
-    if box.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td") and box.above is not None:
-        box = box.above  # one paragraph holds most: its neighbours belong to it
+    # Content paths are kept wherever they stand; the rest of what holds them are their neighbours.
+    whole = {box} | {e for e in inside if e.semantic}
+    holders, around = {_holder(b.at) for b in chosen} | {b.at for b in chosen}, set()
+    e = box
+    while e is not None:
+        around.add(e)
+        e = e.above
     kept = []
     for b in own:
-        e = b.at
-        while e is not None and e is not box:
-            e = e.above
-        if e is box and b.linked <= p.most_links * b.chars:
+        if b.linked > p.most_links * b.chars:
+            continue
+        holder = _holder(b.at)
+        if b.at.path in content or holder in holders or holder in around or _stands_in(b.at, whole):
             kept.append(b.text)
     return "\n\n".join(kept)
 
 
+def _holder(e: Element) -> Element:
+    """The container an element is a part of: a paragraph's, list's, table's or quote's."""
+    if e.tag == "div" and e.above is not None:  # one with text of its own is like a paragraph
+        e = e.above
+    while e.tag not in HOLDERS and e.above is not None:
+        e = e.above
+    return e
+
+
+def _stands_in(e: Element | None, elements: set[Element]) -> bool:
+    while e is not None:
+        if e in elements:
+            return True
+        e = e.above
+    return False
+
+
 def _within_semantic(e: Element | None) -> bool:
     while e is not None:
         if e.semantic:

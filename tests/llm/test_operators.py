@@ -152,6 +152,26 @@ def test_main_text_without_article_element():
     assert html.main_text(page) == html.main_text(PAGE)
 
 
+LONG = "A long paragraph, with commas, and more of them; it goes on, and on, for a while. " * 12
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        ("<article><h1>Title</h1><p>lead</p><div class=body>{L}</div></article>", "Title lead {L}"),
+        ("<div class=post><h1>Title</h1><p>lead</p><div class=body><p>{L}</p><p>{L}</p></div></div>", "Title lead {L} {L}"),
+        ("<div><p>One.</p><ul><li>{L}</li><li>{L}</li></ul><p>Two.</p></div>", "One. {L} {L} Two."),
+        ("<div class=post><div>{L}<p>One.</p></div><p>Two.</p></div>", "{L} One. Two."),
+        ("<article><p>One.</p><table><tr><td>{L}</td></tr></table><blockquote>{L}</blockquote><pre>{L}</pre><p>Two.</p></article>", "One. {L} {L} {L} Two."),
+        ("<div><p>{L}</p><p>{L}</p><p>{L}</p><p>{L}</p><p>{L}</p><p>{L}</p></div><div><h2>Next</h2><p>{L}</p></div>", "{L} {L} {L} {L} {L} {L} Next {L}"),
+    ],
+)
+def test_main_text_keeps_what_stands_beside_most_text(body, want):
+    long = LONG.strip()
+    page = "<html><body><nav><p>Menu, one.</p></nav>" + body.replace("{L}", long) + "<div class=footer><p>All, rights.</p></div></body></html>"
+    assert html.main_text(page).split() == want.replace("{L}", long).split()
+
+
 def test_main_text_of_all_test_pages(spark, sf):
     import html as entities
 

@@ -11,7 +11,8 @@ what stands in the narrowest element that holds most text of content paths or in
 article or main element that holds some, and what stands beside these in the same
 container.  Parts that are marked as something else are left out: menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and comments, by element,
-role, class or id.
+role, class or id.  A class or id that may mean something else (``legal-text``,
+``discussion-post``) is no mark where such names would take most of the content.
 
 Blocks come in page order, joined by an empty line; white space inside a block is
 one space; character references are decoded.
@@ -59,6 +60,12 @@ STOPS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td
 MARKS = frozenset(
     "nav navbar navigation navi menu menubar breadcrumb breadcrumbs crumbs pagination pager header masthead topbar footer bottombar colophon sidebar sidenav aside rail widget widgets ad ads advert adverts advertisement advertising adsense adbox adslot banner sponsor sponsored promo promoted promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login signin register form search searchbox share sharing social comment comments commentlist disqus respond reply replies discussion related recommended recommendations outbrain taboola tagcloud skip copyright disclaimer legal toolbar complementary contentinfo hidden offscreen".split()
 )
+#: Those that alone, or with one another, are never a name for the main text.
+SURE = frozenset(
+    "nav navbar navigation navi menu menubar breadcrumb breadcrumbs crumbs pagination pager footer sidebar sidenav widget widgets ad ads advert adverts advertisement advertising adsense adbox adslot sponsored promo promotion cookie cookies newsletter popup modal share sharing comment comments commentlist disqus related outbrain taboola tagcloud offscreen".split()
+)
+#: What comes after these in a name is something an element only has or lacks.
+HAS = frozenset("has no with without is".split())
 #: Elements whose own marks count less than what they are.
 KEPT = frozenset("html body main".split())
 #: Elements that hold texts; all others are parts of one.
@@ -73,11 +80,13 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Element:
-    __slots__ = ("above", "tag", "path", "other", "depth", "semantic")
+    __slots__ = ("above", "tag", "path", "other", "depth", "semantic", "mark", "doubted")
 
-    def __init__(self, above: Element | None, tag: str, path: int, other: bool, semantic: bool):
+    def __init__(self, above: Element | None, tag: str, path: int, other: bool, semantic: bool, mark: str = ""):
         self.above, self.tag, self.path, self.other, self.semantic = above, tag, path, other, semantic
         self.depth = above.depth + 1 if above else 0
+        #: Names that may mark another part; whether the element or one above has any.
+        self.mark, self.doubted = mark, bool(mark) or above is not None and above.doubted
 
 
 class Block:
@@ -87,11 +96,12 @@ class Block:
         self.at, self.parts, self.chars, self.linked, self.text = at, [], 0, 0, ""
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is marked as something else than main text, and whether as main text."""
+def _marks(tag: str, attributes: str, in_article: bool) -> tuple[bool, str, bool]:
+    """Whether an element is surely another part than the main text, the names by which it may be one, and whether it is marked as main text."""
     if not attributes:
-        return False, False
+        return False, "", False
     other = semantic = False
+    doubts = set()
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden":
@@ -103,10 +113,18 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
         else:
             for token in value.split():
                 parts = [p.lower() for p in _PARTS.findall(_CAMEL.sub(" ", token))]
-                if parts and parts[0] not in ("has", "no", "with", "without", "is") and not MARKS.isdisjoint(parts):
+                own = parts[: next((i for i, p in enumerate(parts) if p in HAS), len(parts))]
+                found = MARKS.intersection(own)
+                if in_article and name != "role":
+                    found = found - {"header"}  # as the element header
+                if found and (name == "role" or SURE.issuperset(parts)):
                     other = True
+                elif found:
+                    doubts.add(token)
             semantic = semantic or name == "role" and value.lower() in ("main", "article")
-    return other and tag not in KEPT, semantic
+    if tag in KEPT:
+        return False, "", semantic
+    return other, " ".join(sorted(doubts)), semantic
 
 
 def blocks(page: str) -> list[Block]:
@@ -201,13 +219,14 @@ def blocks(page: str) -> list[Block]:
             while top.tag != "head":
                 pop()
             pop()
-        marked, main = _marks(tag, attributes)
+        in_article = bool(open_tags["article"] or open_tags["main"])
+        marked, mark, main = _marks(tag, attributes, in_article)
         path = paths.setdefault((top.path, tag), len(paths) + 1)
         # A header is a part of its article there, and a page's header elsewhere.
-        other = top.other or marked or tag in OTHER or tag == "header" and not (open_tags["article"] or open_tags["main"])
+        other = top.other or marked or tag in OTHER or tag == "header" and not in_article
         if attributes.endswith("/") and tag not in ("p", "div", "li", "td", "article", "section"):
             continue
-        top = Element(top, tag, path, other, (tag in ("article", "main") or main) and not other)
+        top = Element(top, tag, path, other, (tag in ("article", "main") or main) and not other, mark)
         open_tags[tag] += 1
     for b in out:
         b.text = " ".join("".join(b.parts).split())
@@ -232,22 +251,50 @@ def fused_ratios(found: list[Block], p: Params) -> np.ndarray:
     return smooth[0] * smooth[1]
 
 
-def main_text(page: str | None, p: Params = Params()) -> str:
-    found = blocks(page or "")
-    if not found:
-        return ""
-    own = [b for b in found if not b.at.other]
-    if any(_within_semantic(b.at) for b in own):
-        own = [b for b in own if _within_semantic(b.at)]
-    if not own:
-        return ""
+def _content(own: list[Block], p: Params) -> tuple[set[int], list[Block]]:
+    """The content paths of these blocks, and the blocks on them that aren't links."""
     fused = fused_ratios(own, p)
     by_path: dict[int, list[float]] = defaultdict(list)
     for b, f in zip(own, fused, strict=True):
         by_path[b.at.path].append(f)
     limit = p.share * min(fused.std(), fused.mean()) if len(own) > 1 else 0.0
     content = {path for path, values in by_path.items() if sum(values) / len(values) >= limit}
-    chosen = [b for b in own if b.at.path in content and b.linked <= p.most_links * b.chars] or own
+    return content, [b for b in own if b.at.path in content and b.linked <= p.most_links * b.chars] or own
+
+
+def _without_doubted(own: list[Block], p: Params) -> list[Block]:
+    """The blocks without those that names mark as another part; while names would leave less than half of the content, the name that takes most is no mark."""
+    if not any(b.at.doubted for b in own):
+        return own
+    _, chosen = _content(own, p)
+    total, cleared = sum(b.chars for b in chosen), set()
+
+    def doubts(e: Element | None) -> Iterator[tuple[int, str]]:
+        while e is not None and e.doubted:
+            if e.mark and (e.path, e.mark) not in cleared:
+                yield e.path, e.mark
+            e = e.above
+
+    while True:
+        left, taken = 0, defaultdict(int)
+        for b in chosen:
+            named = list(dict.fromkeys(doubts(b.at)))
+            left += 0 if named else b.chars
+            for name in reversed(named):  # from the outside, so that of equals the outer one goes first
+                taken[name] += b.chars
+        if 2 * left >= total:
+            return [b for b in own if next(doubts(b.at), None) is None]
+        cleared.add(max(taken, key=taken.__getitem__))
+
+
+def main_text(page: str | None, p: Params = Params()) -> str:
+    found = blocks(page or "")
+    if not found:
+        return ""
+    own = _without_doubted([b for b in found if not b.at.other], p)
+    if not own:
+        return ""
+    content, chosen = _content(own, p)
     inside: dict[Element, int] = defaultdict(int)
     for b in chosen:
         e = b.at
@@ -290,14 +337,6 @@ def _stands_in(e: Element | None, elements: set[Element]) -> bool:
     return False
 
 
-def _within_semantic(e: Element | None) -> bool:
-    while e is not None:
-        if e.semantic:
-            return True
-        e = e.above
-    return False
-
-
 def extract(pages: DataFrame, p: Params = Params(), html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
 

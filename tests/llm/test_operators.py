@@ -172,6 +172,24 @@ def test_main_text_keeps_what_stands_beside_most_text(body, want):
     assert html.main_text(page).split() == want.replace("{L}", long).split()
 
 
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        ("<div class=content><p>{L}</p><p>{L}</p></div><div><article class=card><h3>Other</h3><p>Teaser, short.</p></article></div>", "{L} {L}"),
+        ("<div class='page-with-sidebar'><h1>Title</h1><p>{L}</p><div class=sidebar><p>Side, text.</p></div></div>", "Title {L}"),
+        ("<div id=discussion-post><p>{L}</p></div><div class=comments><p>I think, so. {L}</p></div>", "{L}"),
+        ("<h1>Title</h1><div class=legal-text><p>{L}</p></div><div class=legal-text><p>{L}</p></div><div class=legal-text><p>{L}</p></div>", "Title {L} {L} {L}"),
+        ("<div class=form-wrap><div class=legal><p>{L}</p></div><div class=search-box><p>Find, it.</p></div></div>", "{L}"),
+        ("<div><p>{L}</p><p>{L}</p></div><div class=cookie-notice><p>{L}</p></div><div class=legal-text><p>Some, rights.</p></div>", "{L} {L}"),
+        ("<article><div class=entry-header><h1>Title</h1></div><p>{L}</p></article>", "Title {L}"),
+    ],
+)
+def test_main_text_by_ratios_where_names_mislead(body, want):
+    long = LONG.strip()
+    page = "<html><body><nav><p>Menu, one.</p></nav>" + body.replace("{L}", long) + "<div class=footer><p>All, rights.</p></div></body></html>"
+    assert html.main_text(page).split() == want.replace("{L}", long).split()
+
+
 def test_main_text_of_all_test_pages(spark, sf):
     import html as entities
 

@@ -461,8 +461,8 @@ def resume_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Summaries.
 
 
-def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = V.summary_blocks(spark, sf_dir)
+def _sections(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    b = V.summary_blocks(spark, sf_dir, whole)
     items = F.array_sort(F.collect_list(F.struct("order", "summary_text", "block_id")))
     rows = b.groupBy("paper_id", "section_id").agg(F.min("order").alias("pos"), F.min_by("role", "order").alias("role"), items.alias("i"))
     return rows.select("paper_id", "section_id", "pos", "role", F.array_join(F.slice(F.transform("i", lambda x: x["summary_text"]), 1, 3), " ").alias("summary"), F.transform("i", lambda x: x["block_id"]).alias("block_ids"))
@@ -571,7 +571,7 @@ def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def paper_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Y.paper_memory(_sections(spark, sf_dir), V.summary_blocks(spark, sf_dir), V.graph_nodes(spark, sf_dir))
+    return Y.paper_memory(_sections(spark, sf_dir, whole=True), V.summary_blocks(spark, sf_dir, whole=True), V.graph_nodes(spark, sf_dir))
 
 
 @query(f"SELECT {_KEY} AS collection_key, count(*) AS papers, count(*) FILTER (metadata_status = 'complete') AS valid, count(*) FILTER (coalesce(metadata_status, '') <> 'complete') AS skipped FROM papers GROUP BY 1", "papers")
@@ -762,3 +762,53 @@ def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = V.table(spark, sf_dir, "events").select(F.concat(F.lit("run:"), "user_id").alias("run_id"), F.col("ts").alias("at"), F.when(F.col("event_type") == "purchase", "run-finished").otherwise("paper-started").alias("event"))
     return K.run_report(runs)
+
+
+# The operators that the queries above give the first characters of a text, as their SQL does, over whole texts and lines.
+
+
+@query()
+def identifiers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.table(spark, sf_dir, "documents").select("doc_id", M.identifiers(F.col("text")).alias("i"))
+    return rows.select("doc_id", *(F.array_join(f"i.{k}", "|").alias(k) for k in ("doi", "arxiv", "pmid", "isbn")))
+
+
+@query()
+def names_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File name, slug and title guards of every text."""
+    t = F.col("text")
+    return V.table(spark, sf_dir, "documents").select("doc_id", T.file_name(t).alias("name"), T.ascii_slug(t).alias("slug"), M.bad_converted_title(F.lit("x"), t).alias("bad"), M.is_journal_label(t).alias("journal"))
+
+
+@query()
+def response_blocks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = V.summary_blocks(spark, sf_dir, whole=True)
+    return S.normalised_blocks(_response(b), b)
+
+
+@query()
+def section_fallback_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs = S.sections(V.summary_blocks(spark, sf_dir, whole=True).withColumn("section_path", F.array().cast("array<string>")))
+    response = inputs.where("pos % 2 = 0").select("paper_id", "section_id", F.when(F.col("pos") % 4 != 0, "answer").alias("summary"), F.when(F.col("pos") % 3 != 0, "method").alias("role"))
+    return S.filled_sections(inputs, response).select("paper_id", "section_id", "summary", "role", "answered")
+
+
+@query()
+def ordered_distinct_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.summary_blocks(spark, sf_dir, whole=True).select("paper_id", "order", F.posexplode("concepts").alias("i", "value")).select("paper_id", "value", F.struct("order", "i").alias("pos"))
+    return Y.ordered_distinct(rows, "paper_id").select("paper_id", F.array_join("values", "|").alias("concepts"))
+
+
+@query()
+def role_first_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Y.first_by_role(_sections(spark, sf_dir, whole=True), V.summary_blocks(spark, sf_dir, whole=True), "method")
+
+
+@query()
+def overview_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Y.overview(_sections(spark, sf_dir, whole=True), V.summary_blocks(spark, sf_dir, whole=True))
+
+
+@query()
+def summary_markdown_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.summary_markdown(_sections(spark, sf_dir, whole=True).withColumn("heading", F.col("section_id")))

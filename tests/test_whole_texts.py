@@ -1,0 +1,112 @@
+"""Queries over whole texts and lines against plain Python."""
+
+import re
+import unicodedata
+from collections import defaultdict
+
+import pytest
+
+from quire.plans import views as V
+from quire.plans.queries import QUERIES
+
+LATE = "some words that fill the first line up to a place beyond any prefix "
+PLANTED = [LATE + "doi 10.5555/late.1 arXiv 2101.54321v3 PMID: 7654321 isbn 978-3-16148-4100", LATE * 3 + "End Of Line aB\n" + LATE + "LastWord\nshort", "Plain" + " plain" * 40 + " Ωmega /", "NATURE", (LATE * 2).upper()]
+ROLES = ("background", "method", "result", "limitation", "other")
+
+
+@pytest.fixture(scope="module")
+def folder(spark, sf, tmp_path_factory):
+    out = tmp_path_factory.mktemp("whole")
+    own = spark.createDataFrame([(10_000 + i, t, "en", "s", len(t)) for i, t in enumerate(PLANTED)], V.table(spark, sf, "documents").schema)
+    V.table(spark, sf, "documents").where("doc_id % 4 = 0").unionByName(own).write.parquet(f"{out}/documents.parquet")
+    V.table(spark, sf, "part").limit(0).write.parquet(f"{out}/part.parquet")
+    return str(out)
+
+
+@pytest.fixture(scope="module")
+def texts(spark, folder):
+    return {r["doc_id"]: r["text"] for r in V.table(spark, folder, "documents").collect()}
+
+
+def rows(name, spark, folder):
+    return [r.asDict() for r in QUERIES[name](spark, folder).collect()]
+
+
+def lines(texts):
+    return {d: [(i, x, ROLES[(d * 7 + i) % 5]) for i, x in enumerate(t.split("\n"))] for d, t in texts.items()}
+
+
+def distinct(values):
+    out = {}
+    for v in values:
+        if v.strip():
+            out.setdefault(v.strip().lower(), v.strip())
+    return list(out.values())
+
+
+def sections(texts):
+    out = defaultdict(list)
+    for d, found in lines(texts).items():
+        for i, x, role in found:
+            out[d, i // 3].append((i, x, role))
+    return {k: (v[0][0], v[0][2], " ".join(x for _, x, _ in v)) for k, v in out.items()}
+
+
+def first_by_role(texts, role):
+    out = {}
+    for d, found in lines(texts).items():
+        whole = [x for (k, _), (_, r, x) in sorted(sections(texts).items()) if k == d and r == role and x]
+        if whole := whole or [x for _, x, r in found if r == role and x]:
+            out[d] = whole[0]
+    return out
+
+
+def test_identifiers(spark, folder, texts):
+    patterns = {"doi": r"10\.\d{4,9}/[-._;()/:A-Za-z0-9]+", "arxiv": r"(?i)\b\d{4}\.\d{4,5}(?:v\d+)?\b", "pmid": r"(?i)\bPMID[:\s]+(\d+)\b", "isbn": r"\b(?:97[89][-\s]?)?\d[-\s]?\d{3}[-\s]?\d{5}[-\s]?\d\b"}
+    got = {r["doc_id"]: r for r in rows("identifiers_whole", spark, folder)}
+    assert got == {d: {"doc_id": d} | {k: "|".join(sorted(set(re.findall(p, t, re.A)))) for k, p in patterns.items()} for d, t in texts.items()}
+    assert (got[10_000]["doi"], got[10_000]["arxiv"], got[10_000]["pmid"]) == ("10.5555/late.1", "2101.54321v3", "7654321")
+
+
+def test_names(spark, folder, texts):
+    def cut(x):
+        return (x[:180].rstrip(" .-_") if len(x) > 180 else x) or "untitled"
+
+    def want(t):
+        plain = "".join(c for c in t if unicodedata.category(c) not in ("Cc", "Cf", "Co", "Cs"))
+        name = cut(" ".join(re.sub(r'[/:*?"<>|\\]+', "-", plain).split()).strip(" .-_"))
+        ascii_ = unicodedata.normalize("NFKD", re.sub("[γΓ]", "gamma", plain)).encode("ascii", "ignore").decode()
+        s = t.strip()
+        bad = t != "" and (s[-1:] in ("\\", "/", "|") and s != "" or "\ufffd" in s or sum(map(str.isalpha, s)) >= 20 and s.upper() == s or re.search("[a-z][A-Z]", s) is not None)
+        return {"name": name, "slug": cut(re.sub("[^A-Za-z0-9]+", "-", ascii_).strip("-").lower()), "bad": bad, "journal": s == "" or s == "NATURE"}
+
+    got = {r.pop("doc_id"): r for r in rows("names_whole", spark, folder)}
+    assert got == {d: want(t) for d, t in texts.items()}
+
+
+def test_responses(spark, folder, texts):
+    got = sorted((r["paper_id"], r["summary_text"], " ".join(r["concepts"])) for r in rows("response_blocks_whole", spark, folder))
+    assert got == sorted((d, "" if i % 7 == 3 else x.strip(), x) for d, found in lines(texts).items() for i, x, _ in found)
+
+
+def test_sections(spark, folder, texts):
+    got = {(r["paper_id"], int(r["section_id"][4:])): r["summary"] for r in rows("section_fallback_whole", spark, folder)}
+    assert got == {k: ("" if pos % 4 == 0 else "answer") if pos % 2 == 0 else x for k, (pos, _, x) in sections(texts).items()}
+    got = {r["paper_id"]: r["markdown"] for r in rows("summary_markdown_whole", spark, folder)}
+    want = defaultdict(list)
+    for (d, k), (_, _, x) in sorted(sections(texts).items()):
+        if x:
+            want[d].append(f"## sec_{k:04d}\n\n{x}")
+    assert got == {d: "\n\n".join(x) + "\n" for d, x in want.items()}
+
+
+def test_memory(spark, folder, texts):
+    concepts = {d: distinct(w for _, x, _ in found for w in x.split(" ")) for d, found in lines(texts).items()}
+    overview = {d: " ".join(distinct(x for (k, n), (_, _, x) in sorted(sections(texts).items()) if k == d and n < 2)) for d in texts}
+    assert {r["paper_id"]: r["concepts"] for r in rows("ordered_distinct_whole", spark, folder)} == {d: "|".join(x) for d, x in concepts.items() if x}
+    assert {r["paper_id"]: r["text"] for r in rows("role_first_whole", spark, folder)} == first_by_role(texts, "method")
+    assert {r["paper_id"]: r["overview"] for r in rows("overview_whole", spark, folder)} == overview
+    of = {k: {d: distinct(x for _, x, r in found if r == role)[:5] for d, found in lines(texts).items()} for k, role in (("key_results", "result"), ("limitations", "limitation"))}
+    background, method = first_by_role(texts, "background"), first_by_role(texts, "method")
+    got = {r["paper_id"]: (r["overview"], r["research_problem"], r["method"], r["key_results"], r["limitations"], r["concepts"]) for r in rows("paper_memory", spark, folder)}
+    assert got == {d: (overview[d], background.get(d, ""), method.get(d, ""), of["key_results"][d], of["limitations"][d], concepts[d][:12]) for d in texts}

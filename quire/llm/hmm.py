@@ -189,13 +189,17 @@ def _windows(sequences: list[np.ndarray], p: Params) -> tuple[np.ndarray, np.nda
     return out, np.repeat(np.arange(len(sequences)), count)
 
 
-def expected(windows: np.ndarray, m: Model, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts of starts, steps and emissions over windows, and their log10 likelihood."""
+def expected(windows: np.ndarray, m: Model, p: Params, first: np.ndarray | None = None, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of starts, steps and emissions over windows, and their log10 likelihood.
+
+    ``first`` tells which windows start a sequence, ``before`` and ``after`` have the states ahead
+    of the others and the weights of what follows; without them every window is a sequence.
+    """
     emit = np.vstack([m.emit, np.ones(p.states)])
     obs = np.ascontiguousarray(windows.T)
     length, n = obs.shape
     alpha, scale = np.empty((length, n, p.states)), np.empty((length, n))
-    a = m.start * emit[obs[0]]
+    a = (m.start if first is None else np.where(first[:, None], m.start, before @ m.step)) * emit[obs[0]]
     for t in range(length):
         if t:
             a = (a @ m.step) * emit[obs[t]]
@@ -205,22 +209,44 @@ def expected(windows: np.ndarray, m: Model, p: Params) -> tuple[np.ndarray, np.n
     real = obs < p.classes
     steps, beta = np.zeros((p.states, p.states)), np.ones((n, p.states))
     gamma = alpha
+    if after is not None:
+        beta = after / (alpha[-1] * after).sum(axis=1)[:, None]
+        gamma[-1] *= beta
     for t in range(length - 2, -1, -1):
         ahead = emit[obs[t + 1]] * beta / scale[t + 1][:, None]
         steps += alpha[t].T @ (ahead * real[t + 1][:, None])
         beta = ahead @ m.step.T
         gamma[t] *= beta
     emitted = np.stack([np.bincount(obs.ravel(), gamma[:, :, s].ravel(), minlength=p.classes + 1)[: p.classes] for s in range(p.states)], axis=1)
-    return gamma[0].sum(axis=0), steps * m.step, emitted, float(np.log10(scale[real]).sum())
-
+    starts = gamma[0]
+    if first is not None:
+        steps += before[~first].T @ (emit[obs[0]] * beta / scale[0][:, None])[~first]
+        starts = starts[first]
+    return starts.sum(axis=0), steps * m.step, emitted, float(np.log10(scale[real]).sum())
 
-def log_likelihoods(sequences: list[np.ndarray], m: Model, p: Params) -> np.ndarray:
-    """Exact log10 likelihoods of whole class sequences.
 
-    The scaled forward recursion of a window is a product of matrices, made for all
-    windows at once; then each sequence's windows are applied in order.
-    """
+def expected_whole(sequences: list[np.ndarray], m: Model, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """``expected`` over whole sequences: forward and backward vectors are carried from window to window."""
     windows, of = _windows(sequences, p)
+    number, product, _ = _products(windows, of, m, p)
+    before, after = np.tile(m.start, (len(of), 1)), np.ones((len(of), p.states))
+    order = np.argsort(number, kind="stable")
+    rounds = np.split(order, np.cumsum(np.bincount(number))[:-1]) if len(of) else []
+    for own in rounds[1:]:
+        v = np.einsum("ns,nst->nt", before[own - 1], product[own - 1])
+        before[own] = v / v.sum(axis=1)[:, None]
+    for own in rounds[:0:-1]:
+        v = np.einsum("nst,nt->ns", product[own], after[own])
+        after[own - 1] = v / v.sum(axis=1)[:, None]
+    out = [np.zeros_like(m.start), np.zeros_like(m.step), np.zeros_like(m.emit), 0.0]
+    for i in range(0, len(of), 1024):
+        c = slice(i, i + 1024)
+        out = [x + y for x, y in zip(out, expected(windows[c], m, p, number[c] == 0, before[c], after[c]), strict=True)]
+    return tuple(out)
+
+
+def _products(windows: np.ndarray, of: np.ndarray, m: Model, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each window's number in its sequence, and its scaled forward recursion as a matrix, with the log10 of the scale."""
     emit = np.vstack([m.emit, np.ones(p.states)])
     number = np.arange(len(of)) - np.searchsorted(of, of)
     product, scale = np.empty((len(of), p.states, p.states)), np.zeros(len(of))
@@ -236,6 +262,17 @@ def log_likelihoods(sequences: list[np.ndarray], m: Model, p: Params) -> np.ndar
                 x /= top[:, None, None]
                 scale[i : i + step] += np.log10(top)
         product[i : i + step] = x
+    return number, product, scale
+
+
+def log_likelihoods(sequences: list[np.ndarray], m: Model, p: Params) -> np.ndarray:
+    """Exact log10 likelihoods of whole class sequences.
+
+    The scaled forward recursion of a window is a product of matrices, made for all
+    windows at once; then each sequence's windows are applied in order.
+    """
+    windows, of = _windows(sequences, p)
+    number, product, scale = _products(windows, of, m, p)
     state, out = np.tile(m.start, (len(sequences), 1)), np.zeros(len(sequences))
     for k in range(number.max() + 1 if len(number) else 0):
         own = np.flatnonzero(number == k)
@@ -255,10 +292,8 @@ def _expectations(rows: DataFrame, m: Model, p: Params) -> Model:
         total = np.zeros(sum(n for _, n in shapes))
         for batch in batches:
             for part in tokens.slices(batch, 0):
-                windows, _ = _windows([np.frombuffer(x, np.uint16) for x in part.column(0).to_pylist()], p)
-                for i in range(0, len(windows), 1024):
-                    start, step, emit, _ = expected(windows[i : i + 1024], m, p)
-                    total += np.concatenate([start, step.ravel(), emit.ravel()])
+                start, step, emit, _ = expected_whole([np.frombuffer(x, np.uint16) for x in part.column(0).to_pylist()], m, p)
+                total += np.concatenate([start, step.ravel(), emit.ravel()])
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["k", "v"])
 

@@ -321,6 +321,31 @@ def test_parallel_recursion_is_exact_and_training_climbs():
         before, m = value, hmm.Model(start / start.sum(), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
+def test_expected_counts_of_whole_sequences():
+    p = hmm.Params(states=3, short_classes=5, suffix_classes=4, window=7)
+    rng = np.random.default_rng(3)
+    seqs = [rng.integers(0, p.classes, n).astype(np.int64) for n in (1, 6, 7, 8, 14, 50, 120)]
+    m = hmm.first_model(np.arange(p.classes), p)
+    m = hmm.Model(np.array([0.7, 0.2, 0.1]), m.step, m.emit)
+    start, step, emit, value = np.zeros(3), np.zeros((3, 3)), np.zeros((p.classes, 3)), 0.0
+    for s in seqs:
+        a, b = [m.start * m.emit[s[0]]], [np.ones(3)]
+        for x in s[1:]:
+            a.append(a[-1] @ m.step * m.emit[x])
+        for x in s[:0:-1]:
+            b.insert(0, m.step @ (m.emit[x] * b[0]))
+        total = a[-1].sum()
+        value += np.log10(total)
+        start += a[0] * b[0] / total
+        for t, x in enumerate(s):
+            emit[x] += a[t] * b[t] / total
+            if t:
+                step += a[t - 1][:, None] * m.step * (m.emit[x] * b[t]) / total
+    got = hmm.expected_whole(seqs, m, p)
+    assert all(np.allclose(x, y) for x, y in zip(got, (start, step, emit, value), strict=True))
+    assert np.isclose(got[0].sum(), len(seqs))
+
+
 def test_model_is_better_than_its_base_on_held_out_rows(spark, corpus):
     got = hmm.score(corpus).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]

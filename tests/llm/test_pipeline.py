@@ -1,6 +1,14 @@
+import collections
+import struct
+
+import public_tokenizers
 import pytest
+import regex
+from pyspark.sql import functions as F
+from test_operators import WORD, brute_classes, brute_targets
 
-from quire.llm.tables import stored, table
+from quire.llm import bpe, mixing, toxicity
+from quire.llm.tables import labelled_sample, stored, table
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -31,3 +39,71 @@ def test_empty_documents(spark, sf, tmp_path):
     for name in ("documents", "labels"):
         table(spark, sf, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def plain_clean(docs):
+    """Texts by key without the lines that stand on over 5 % of a source's distinct texts, and on three at least."""
+    pages, lines = collections.defaultdict(set), collections.Counter()
+    for text, source in docs.values():
+        pages[source].add(text)
+    for source, texts in pages.items():
+        lines.update((source, x) for t in texts for x in {x.strip(" ") for x in t.split("\n")} if x)
+    bad = {(s, x) for (s, x), n in lines.items() if n >= 3 and n > 0.05 * len(pages[s])}
+    return {k: ("\n".join(x for x in t.split("\n") if (s, x.strip(" ")) not in bad), s) for k, (t, s) in docs.items()}
+
+
+def plain_mix(docs, chance):
+    """How often each key is taken, by Pareto order sampling with the given random numbers."""
+    size, copies = {k: len(WORD.findall(t)) for k, (t, _) in docs.items()}, {}
+    total = collections.Counter()
+    for k, (_, s) in docs.items():
+        total[s] += size[k]
+    for source, target in brute_targets(dict(total)).items():
+        rate = target / total[source] if total[source] else 0.0
+        whole = int(rate + 1e-9)
+        p = max(rate - whole, 0.0)
+        own = [k for k, (_, s) in docs.items() if s == source]
+        copies |= dict.fromkeys(own, whole)
+        want, upto = target - whole * total[source], 0
+        if p > 1e-9:
+            for k in sorted((k for k in own if size[k]), key=lambda k: chance[k] / (1 - chance[k]) / (p / (1 - p))):
+                upto += size[k]
+                if upto - size[k] / 2 > want:
+                    break
+                copies[k] += 1
+    return {k: n for k, n in copies.items() if n and size[k]}
+
+
+def plain_ids(text, ranks, seen):
+    out = []
+    for piece in regex.findall(public_tokenizers.PATTERN, text):
+        if piece not in seen:
+            parts = [bytes([b]) for b in piece.encode()]
+            while len(parts) > 1:
+                n, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
+                if n == 1 << 40:
+                    break
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            seen[piece] = [ranks[x] for x in parts]
+        out += seen[piece]
+    return out
+
+
+def test_run_equals_plain_python(spark, sf):
+    given = table(spark, sf, "documents")
+    p = toxicity.Params()
+    model = toxicity.train(labelled_sample(given, table(spark, sf, "labels"), "toxic", p.max_rows, None), p)
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(given, model).collect()}
+    assert min(score.values()) < pipeline.TOXIC_FROM <= max(score.values())
+    docs = {r["doc_id"]: (r["text"], r["source"]) for r in given.collect() if score[r["doc_id"]] < pipeline.TOXIC_FROM}
+    docs = plain_clean(docs)
+    classes = brute_classes([(k, t) for k, (t, _) in docs.items()])
+    docs = {k: v for k, v in docs.items() if classes[k] == k}
+    frame = spark.createDataFrame([(k, t) for k, (t, _) in docs.items()], "doc_id long, text string")
+    chance = {r["doc_id"]: r["u"] for r in frame.select("doc_id", mixing._random(F.col("doc_id"), F.col("text"), 1).alias("u")).collect()}
+    taken = plain_mix(docs, chance)
+    ranks, seen = {x: i for i, x in enumerate(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))}, {}
+    want = sorted((k, docs[k][0], plain_ids(docs[k][0], ranks, seen)) for k, n in taken.items() for _ in range(n))
+    got = sorted((r["doc_id"], r["text"], list(struct.unpack(f"<{r['n_tokens']}I", r["ids"]))) for r in pipeline.run(spark, sf).collect() if WORD.search(r["text"]))
+    assert [(k, t) for k, t, _ in got] == [(k, t) for k, t, _ in want]
+    assert got == want

@@ -1,22 +1,25 @@
 """Byte-level BPE encoding and decoding with the rank file of a public tokenizer.
 
-Texts are cut by the tokenizer's pattern.  The distinct pieces that a worker
+Texts are cut by the tokenizer's pattern.  The distinct pieces that a task
 has not met yet are grouped by length into padded matrices, one row a piece.
 Each round every row merges its leftmost pair of minimum rank: pairs are looked
 up in a hashed table, and the matrix is compacted by one column.  Rows without
-a pair leave the matrix.  Pieces over ``MATRIX_WIDTH`` bytes, whose matrix
-would cost the square of their length, use the same rule with a heap.
-
-Defined results: a null text is empty; an empty text has no tokens; a null or
-repeated key is carried through; an empty table gives an empty result; other
-columns are not read.  Ids travel as little-endian unsigned 32-bit integers.
+a pair leave the matrix.  A piece over ``WIDTH`` bytes is a matrix of its own,
+folded into rows of that width whose minima are kept: each round merges the
+leftmost least pair of all rows and compacts the row that lost a cell, so a
+round costs a row, not the piece, and any length is encoded alike.
+
+Defined results: a null text is empty; an empty text has no tokens; a very long
+text is encoded whole, its memory a small factor of its length; a null or repeated
+key is carried through; an empty table gives an empty result; a column named like
+a result is replaced, other columns are carried as they are.  Ids travel as
+little-endian unsigned 32-bit integers.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +31,10 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from quire.llm import tokens
 
-MATRIX_WIDTH = 512
+WIDTH = 512
 MATRIX_CELLS = 1 << 20
-#: Pieces that a Python worker remembers; beyond that it starts afresh.
-CACHE_PIECES = 300_000
+#: Bytes of pieces and their ids that a task remembers; beyond that it starts afresh.
+CACHE_BYTES = 32_000_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -50,6 +53,7 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.single = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
         self.cache: dict[str, bytes] = {}
+        self.held = 0
         self._pairs()
 
     def _pairs(self) -> None:
@@ -122,27 +126,46 @@ class Codec:
                 ranks[line[here], best[here] - 1] = self.joined(ids[line[here], best[here] - 1], ids[line[here], best[here]])
         return out
 
-    def _long(self, piece: bytes) -> bytes:
-        """The same merges for one long piece, with a heap of (rank, place) and linked neighbours."""
-        ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        bytes_of, rank = self.bytes_of, self.rank
-        heap = [(r, i) for i in range(n - 1) if (r := rank.get(bytes_of[ids[i]] + bytes_of[ids[i + 1]])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] < 0 or j >= n or rank.get(bytes_of[ids[i]] + bytes_of[ids[j]]) != r:
-                continue
-            ids[i], ids[j] = r, -1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for k in (before[i], i):
-                if k >= 0 and after[k] < n and (s := rank.get(bytes_of[ids[k]] + bytes_of[ids[after[k]]])) is not None:
-                    heapq.heappush(heap, (s, k))
-        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+    def _folded(self, piece: bytes) -> bytes:
+        """Merges one long piece that lies over several rows of a matrix."""
+        flat = self.single[np.frombuffer(piece, np.uint8)]
+        n, rows = len(flat), -(-len(flat) // WIDTH)
+        ids, ranks = np.full((rows, WIDTH), -1, np.int32), np.full((rows, WIDTH), NONE, np.int32)
+        ids.reshape(-1)[:n] = flat
+        ranks.reshape(-1)[: n - 1] = self.joined(flat[:-1], flat[1:])  # of each cell with the next, of a row's last with the next row's first
+        size = [WIDTH] * (rows - 1) + [n - WIDTH * (rows - 1)]
+        after, before = [*range(1, rows), -1], [*range(-1, rows - 1)]
+        least = ranks.min(axis=1)
+        bytes_of, rank = self.bytes_of, self.rank.get
+
+        def renewed(i: int, j: int) -> None:
+            """The rank of a cell with the next one."""
+            k, at = (i, j + 1) if j + 1 < size[i] else (after[i], 0)
+            ranks[i, j] = NONE if k < 0 else rank(bytes_of[ids[i, j]] + bytes_of[ids[k, at]], NONE)
+
+        while True:
+            i = int(least.argmin())
+            if (best := least[i]) == NONE:
+                break
+            j = int(ranks[i].argmin())
+            k, at = (i, j + 1) if j + 1 < size[i] else (after[i], 0)
+            ids[i, j] = best
+            end = size[k] - 1
+            for cells, empty in ((ids[k], -1), (ranks[k], NONE)):
+                cells[at:end] = cells[at + 1 : end + 1]
+                cells[end] = empty
+            size[k] = end
+            if not end:
+                after[before[k]] = after[k]
+                if after[k] >= 0:
+                    before[after[k]] = before[k]
+            renewed(i, j)
+            h, at = (i, j - 1) if j else (before[i], size[before[i]] - 1)
+            if h >= 0:
+                renewed(h, at)
+            for x in {h, i, k} - {-1}:
+                least[x] = ranks[x].min()
+        return ids[ids >= 0].astype("<u4").tobytes()
 
     def learn(self, pieces: list[str]) -> None:
         """Encodes pieces, all different, into the cache."""
@@ -151,8 +174,8 @@ class Codec:
             raw = text.encode()
             if (whole := self.rank.get(raw)) is not None:
                 self.cache[text] = whole.to_bytes(4, "little")
-            elif len(raw) > MATRIX_WIDTH:
-                self.cache[text] = self._long(raw)
+            elif len(raw) > WIDTH:
+                self.cache[text] = self._folded(raw)
             else:
                 buckets.setdefault((len(raw) - 1).bit_length() if len(raw) > 16 else len(raw) + 64, []).append((text, raw))
         for group in buckets.values():
@@ -160,16 +183,15 @@ class Codec:
             for i in range(0, len(group), step):
                 part = group[i : i + step]
                 self.cache.update(zip((text for text, _ in part), self._matrix([raw for _, raw in part]), strict=True))
+        self.held += sum(200 + 5 * len(p) for p in pieces)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, as little-endian unsigned 32-bit integers."""
+        if self.held > CACHE_BYTES:
+            self.cache.clear()
+            self.held = 0
         pieces = [self.split(t) for t in texts]
-        new = {p for one in pieces for p in one if p not in self.cache}
-        if new:
-            if len(self.cache) + len(new) > CACHE_PIECES:
-                self.cache.clear()
-                new = {p for one in pieces for p in one}
-            self.learn(list(new))
+        self.learn(list({p for one in pieces for p in one if p not in self.cache}))
         get = self.cache.__getitem__
         return [b"".join(map(get, one)) for one in pieces]
 
@@ -177,51 +199,60 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_codecs: dict[tuple[int, str], Codec] = {}
+def _extended(docs: DataFrame, place: str, made: dict[str, Callable], most: int) -> DataFrame:
+    """The table with binary columns made of one column's slices in order, each given the one before; columns of those names are replaced."""
+    docs = docs.drop(*made)
+    at = docs.columns.index(place)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = [start() for start in made.values()]
+        for batch in batches:
+            for part in tokens.slices(batch, at, most):
+                values, new = part.column(at), []
+                for step in steps:
+                    values = step(values)
+                    new.append(values)
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *made])
 
-def _codec(vocabulary: list[bytes], pattern: str) -> Codec:
-    """One codec for each worker process, so that its cache outlives a task."""
-    key = (hash(tuple(vocabulary)), pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(vocabulary, pattern)
-    return _codecs[key]
+    return docs.mapInArrow(tokens.tidied(run), StructType([*docs.schema.fields, *(StructField(c, BinaryType()) for c in made)]))
 
 
-def encode(docs: DataFrame, vocabulary: list[bytes], pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """The table with a column of the text's ids (binary); a column of that name is replaced."""
-    docs = docs.drop(ids_col) if ids_col in docs.columns else docs
+def _encoder(docs: DataFrame, vocabulary: list[bytes], pattern: str) -> Callable:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # the size of the rank file
-    place = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value, pattern)
-        for batch in batches:
-            for part in tokens.slices(batch, place):
-                ids = codec.encode(pc.fill_null(part.column(place), "").to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], [*part.schema.names, ids_col])
+    def start() -> Callable[[pa.Array], pa.Array]:
+        codec = Codec(shared.value, pattern)
+        return lambda texts: pa.array(codec.encode(pc.fill_null(texts, "").to_pylist()), pa.binary())
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(ids_col, BinaryType())]))
+    return start
 
 
-def decode(encoded: DataFrame, vocabulary: list[bytes], ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
-    """The table with a column of the decoded bytes; a column of that name is replaced."""
-    encoded = encoded.drop(decoded_col) if decoded_col in encoded.columns else encoded
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
-    place = encoded.columns.index(ids_col)
+def _decoder(docs: DataFrame, vocabulary: list[bytes]) -> Callable:
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start() -> Callable[[pa.Array], pa.Array]:
         get = shared.value.__getitem__
-        for batch in batches:
-            for part in tokens.slices(batch, place, 4 * tokens.SLICE_BYTES):
-                back = [b"".join(map(get, np.frombuffer(ids or b"", "<u4").tolist())) for ids in part.column(place).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(back, pa.binary())], [*part.schema.names, decoded_col])
+        return lambda ids: pa.array([b"".join(map(get, np.frombuffer(x or b"", "<u4").tolist())) for x in ids.to_pylist()], pa.binary())
+
+    return start
+
+
+def encode(docs: DataFrame, vocabulary: list[bytes], pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """The table with a column of the text's ids (binary)."""
+    return _extended(docs, text_col, {ids_col: _encoder(docs, vocabulary, pattern)}, tokens.SLICE_BYTES)
+
+
+def decode(encoded: DataFrame, vocabulary: list[bytes], ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """The table with a column of the decoded bytes."""
+    return _extended(encoded, ids_col, {decoded_col: _decoder(encoded, vocabulary)}, 4 * tokens.SLICE_BYTES)
+
 
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(decoded_col, BinaryType())]))
+def recoded(docs: DataFrame, vocabulary: list[bytes], pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """The table with the text's ids and the bytes that these ids decode to, in one pass of one worker."""
+    return _extended(docs, text_col, {ids_col: _encoder(docs, vocabulary, pattern), decoded_col: _decoder(docs, vocabulary)}, tokens.SLICE_BYTES)
 
 
 def round_trip(docs: DataFrame, vocabulary: list[bytes], pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, from its ids and what they decode to."""
-    both = decode(encode(docs.select("doc_id", "text"), vocabulary, pattern).drop("text"), vocabulary)
+    both = recoded(docs.select("doc_id", "text"), vocabulary, pattern).drop("text")
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -10,7 +10,8 @@ filter by chance, and the language with most decides.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, or
 nothing could be learned; ties go to the language first in code point order;
-null keys and repeated rows are kept; an empty table gives an empty result;
+null keys and repeated rows are kept; a very long text is read whole; an empty
+table gives an empty result; more than ``max_languages`` languages are an error;
 other columns are not read.
 """
 
@@ -40,6 +41,8 @@ class Params:
     slots_each: float = 8.0
     #: Bound of the sample that profiles are fitted on: about so many rows of each language.
     max_rows: int = 4_000
+    #: The driver holds a profile for each language: more than so many are refused.
+    max_languages: int = 4_096
 
 
 @dataclass(frozen=True)
@@ -85,7 +88,7 @@ def _counted(sample: DataFrame, p: Params) -> DataFrame:
                         found, count = np.unique(grams(texts, n)[0], return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(np.full(len(found), n, np.int32)), pa.array(found.view(np.int64)), pa.array(count)], ["lang", "n", "gram", "count"])
 
-    return sample.mapInArrow(run, "lang string, n int, gram long, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
+    return sample.mapInArrow(tokens.tidied(run), "lang string, n int, gram long, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
 
 
 def train(docs: DataFrame, p: Params = Params(), held_out: tuple[int, int] | None = (4, 2), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filter:
@@ -96,6 +99,8 @@ def train(docs: DataFrame, p: Params = Params(), held_out: tuple[int, int] | Non
     u = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     # Written first, so that its size is known: one row a language is broadcast, and texts are not shuffled.
     share = stored(per.select(F.col("lang").alias("_l"), (F.lit(float(p.max_rows)) / F.col("count")).alias("_share")))
+    if share.count() > p.max_languages:
+        raise ValueError(f"more than {p.max_languages} languages to learn")
     sample = rows.join(share, F.col(lang_col) == F.col("_l")).where(u < F.col("_share")).select(F.col(text_col).alias("text"), F.col("_l").alias("lang"))
     counts = _counted(sample, p)
     counts = counts.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy("lang", "n")))  # profiles of a bounded sample
@@ -151,7 +156,7 @@ def predict(docs: DataFrame, f: Filter, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[best], pa.string()), pa.array(score)], [id_col, "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return docs.select(id_col, text_col).mapInArrow(tokens.tidied(run), f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def language(docs: DataFrame, p: Params = Params(), held_out: tuple[int, int] = (4, 2)) -> DataFrame:

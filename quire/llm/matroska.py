@@ -5,7 +5,7 @@ Matroska file of known or unknown element sizes into its packets, with track,
 timestamp and byte range, whatever lacing its blocks use.
 
 Defined results: a null text is an empty one; the payload of an empty text is 64
-bytes of 0; null keys and repeated rows are kept; an empty table gives an empty
+bytes of 0; a very long text is one file, held whole by its task; null keys and repeated rows are kept; an empty table gives an empty
 result; other columns are not read.  A file that breaks off ends its packet
 table at the last whole packet.
 """
@@ -288,7 +288,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([write(padded(t)) for t in texts], pa.binary())], [id_col, "n_bytes", "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")
+    return docs.select(id_col, text_col).mapInArrow(tokens.tidied(run), f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
 def packet_table(files: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -306,23 +306,24 @@ def packet_table(files: DataFrame, id_col: str = "doc_id", media_col: str = "med
                     )
 
     kind = files.schema[id_col].dataType.simpleString()
-    return files.select(id_col, media_col).mapInArrow(run, f"`{id_col}` {kind}, packet long, track long, timestamp_ns long, offset long, size long, keyframe boolean, cluster_offset long")
+    return files.select(id_col, media_col).mapInArrow(tokens.tidied(run), f"`{id_col}` {kind}, packet long, track long, timestamp_ns long, offset long, size long, keyframe boolean, cluster_offset long")
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         for batch in batches:
-            rows = []
-            for data in batch.column(2).to_pylist():
-                media = parse(data)
-                back = read(data, media)
-                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(media, np.frombuffer(back, np.uint8))))
-            made = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, k) for v, k in zip(made, kinds, strict=True))], names)
+            for part in tokens.slices(batch, 2, 4 * tokens.SLICE_BYTES):
+                rows = []
+                for data in part.column(2).to_pylist():
+                    media = parse(data)
+                    back = read(data, media)
+                    rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(media, np.frombuffer(back, np.uint8))))
+                made = list(zip(*rows, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(v, k) for v, k in zip(made, kinds, strict=True))], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return media_column(docs).mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media_column(docs).mapInArrow(tokens.tidied(run), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

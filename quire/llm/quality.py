@@ -7,7 +7,7 @@ sample that training does not see calibrates its scores to probabilities (Platt
 scaling).  Arrow batches are scored against a fixed threshold.
 
 Defined results: a null or empty text has no words, counts of 0, and fails the
-base rules; without labels of both kinds every text that passes the base rules
+base rules; a very long text is counted and scored whole; without labels of both kinds every text that passes the base rules
 is kept; null keys and repeated rows are kept; an empty table gives an empty
 result; other columns are not read.
 """
@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from quire.llm import tokens
-from quire.llm.tables import labelled_sample
+from quire.llm.tables import in_one_task, labelled_sample, until
 
 #: Base rules: fewest words, and the most repeated words in percent.
 MIN_WORDS = 50
@@ -40,8 +40,9 @@ class Params:
     rate: float = 0.5
     l2: float = 1e-6
     epochs: int = 6
-    #: Bound of the sample of labelled rows; every fifth of it calibrates.
+    #: Bounds of the sample of labelled rows, of which every fifth calibrates: rows, and bytes of their texts.
     max_rows: int = 8_000
+    max_bytes: int = 64_000_000
     #: Texts of a lower probability of good quality are not kept.
     threshold: float = 0.5
 
@@ -151,26 +152,24 @@ def _platt(pairs: list[tuple[float, float]]) -> tuple[float, float]:
 
 
 def train(sample: DataFrame, p: Params = Params()) -> Model | None:
-    """Fits in one task over a sample of at most p.max_rows rows (turn, text, label)."""
+    """Fits in one task over a sample of at most p.max_rows rows (turn, text, label), and p.max_bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples = []
-        for batch in batches:
-            for part in tokens.slices(batch, 1):
-                found = list(families(part.column(1), p))
-                for i, (turn, label) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                    idx, value = [], []
-                    for k, (h, first) in enumerate(found):
-                        own, count = np.unique(h[first[i] : first[i + 1]], return_counts=True)
-                        idx.append(own + (k << p.bits))
-                        value.append(count * (p.scale / max(1, count.sum())))
-                    examples.append((turn, np.concatenate(idx).astype(np.int32), np.concatenate(value).astype(np.float32), label))
-        examples.sort(key=lambda e: (e[0], len(e[1]), e[1].tobytes(), e[3]))
-        if len({e[3] for e in examples}) > 1:
-            m = fit([e[1:] for e in examples], p)
+        for part in until(batches, p.max_bytes):
+            found = list(families(part.column(1), p))
+            for i, label in enumerate(part.column(2).to_pylist()):
+                idx, value = [], []
+                for k, (h, first) in enumerate(found):
+                    own, count = np.unique(h[first[i] : first[i + 1]], return_counts=True)
+                    idx.append(own + (k << p.bits))
+                    value.append(count * (p.scale / max(1, count.sum())))
+                examples.append((np.concatenate(idx).astype(np.int32), np.concatenate(value).astype(np.float32), label))
+        if len({label for *_, label in examples}) > 1:
+            m = fit(examples, p)
             yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.bias]), pa.array([m.slope]), pa.array([m.shift])], ["weights", "bias", "slope", "shift"])
 
-    row = sample.select("turn", "text", "label").repartition(1).mapInArrow(run, "weights binary, bias double, slope double, shift double").first()  # a bounded sample
+    row = in_one_task(sample).mapInArrow(tokens.tidied(run), "weights binary, bias double, slope double, shift double").first()
     return row and Model(np.frombuffer(row["weights"], np.float32).reshape(-1, 1 << p.bits), row["bias"], row["slope"], row["shift"])
 
 
@@ -198,7 +197,7 @@ def rules(docs: DataFrame, m: Model | None, p: Params = Params(), id_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(counts[n]) for n in names), pa.array(failed), pa.array(~failed & (good >= p.threshold)), pa.array(good)], [id_col, *names, "base_failed", "kept", "probability"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {', '.join(f'{n} long' for n in names)}, base_failed boolean, kept boolean, probability double")
+    return docs.select(id_col, text_col).mapInArrow(tokens.tidied(run), f"`{id_col}` {kind}, {', '.join(f'{n} long' for n in names)}, base_failed boolean, kept boolean, probability double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, p: Params = Params(), held_out: tuple[int, int] | None = None) -> DataFrame:

@@ -11,7 +11,8 @@ Nulls are read as empty texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,10 +60,33 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch into runs of whole rows of about ``most`` bytes of text."""
-    text = batch.column(column)
-    sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+def release() -> None:
+    """Gives freed memory back to the system; without a C library that can, it stays with the process."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The work of a task, after which nothing of it stays: Python workers are used again by other stages."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
+def slices(batch: pa.RecordBatch, columns: int | tuple[int, ...], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch into runs of whole rows of about ``most`` bytes of text in the columns."""
+    sizes = np.zeros(len(batch), np.int64)
+    for c in (columns,) if isinstance(columns, int) else columns:
+        sizes += pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     start, total = 0, 0
     for i, size in enumerate(sizes.tolist()):
         if i > start and total + size > most:

@@ -5,9 +5,10 @@ each counted once per document.  FTRL-proximal keeps a learning rate for each
 coordinate, and its L1 term leaves most weights at exactly zero, so what goes to
 the executors is a few thousand pairs (at most 2**bits).
 
-Defined results: a null or empty text has no feature and scores the bias; null
-keys are kept; repeated rows get equal scores; an empty table gives an empty
-result; other columns are not read.
+Defined results: a null or empty text has no feature and scores the bias; a very
+long text is scored whole; null keys are kept; repeated rows get equal scores; an
+empty table gives an empty result; other columns are not read, and carried as they
+are by ``without_toxic``, which keeps every row where no weight was learned.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import tokens
-from quire.llm.tables import labelled_sample, remainder
+from quire.llm.tables import in_one_task, labelled_sample, remainder, until
 
 
 @dataclass(frozen=True)
@@ -33,8 +34,9 @@ class Params:
     l1: float = 4.0
     l2: float = 0.0
     epochs: int = 4
-    #: Bound of the sample of labelled rows that the model is fitted on.
+    #: Bounds of the sample of labelled rows that the model is fitted on: rows, and bytes of their texts.
     max_rows: int = 12_000
+    max_bytes: int = 128_000_000
 
 
 @dataclass(frozen=True)
@@ -85,23 +87,20 @@ def fit(examples: list[tuple[np.ndarray, float]], p: Params) -> Model:
 
 
 def train(sample: DataFrame, p: Params = Params()) -> Model:
-    """Fits the model in one task over a sample of at most ``p.max_rows`` rows (turn, text, label)."""
+    """Fits the model in one task over a sample of at most ``p.max_rows`` rows (turn, text, label), and ``p.max_bytes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples = []
-        for batch in batches:
-            for part in tokens.slices(batch, 1):
-                idx, doc = features(part.column(1), p.bits)
-                cut = np.searchsorted(doc[(order := np.argsort(doc, kind="stable"))], np.arange(len(part) + 1))
-                for i, (turn, label) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                    own = np.unique(idx[order[cut[i] : cut[i + 1]]])
-                    examples.append((turn, len(own), own.tobytes(), own, label))
-        examples.sort(key=lambda e: e[:3])
-        model = fit([(own, label) for *_, own, label in examples], p)
+        for part in until(batches, p.max_bytes):
+            idx, doc = features(part.column(1), p.bits)
+            cut = np.searchsorted(doc[(order := np.argsort(doc, kind="stable"))], np.arange(len(part) + 1))
+            for i, label in enumerate(part.column(2).to_pylist()):
+                examples.append((np.unique(idx[order[cut[i] : cut[i + 1]]]), label))
+        model = fit(examples, p)
         yield pa.RecordBatch.from_arrays([pa.array([model.index.tobytes()]), pa.array([model.weight.tobytes()]), pa.array([model.bias])], ["index", "weight", "bias"])
 
-    # The sample is bounded, and so is this one row. repartition: the scan that finds the sample stays distributed.
-    row = sample.select("turn", "text", "label").repartition(1).mapInArrow(run, "index binary, weight binary, bias double").first()
+    # The sample is bounded, and so is this one row.
+    row = in_one_task(sample).mapInArrow(tokens.tidied(run), "index binary, weight binary, bias double").first()
     if row is None:
         return Model(np.zeros(0, np.uint32), np.zeros(0, np.float32), 0.0, p.bits)
     return Model(np.frombuffer(row["index"], np.uint32), np.frombuffer(row["weight"], np.float32), row["bias"], p.bits)
@@ -132,11 +131,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores(part.column(1), model, table))], [id_col, "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return docs.select(id_col, text_col).mapInArrow(tokens.tidied(run), f"`{id_col}` {kind}, score double")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
     """The rows, all columns as they are, whose score is under the threshold."""
+    if not len(model.index):
+        return docs
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +146,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float, text_col: str
             for part in tokens.slices(batch, place):
                 yield part.filter(pa.array(scores(part.column(place), model, table) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tokens.tidied(run), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, p: Params = Params(), threshold: float = 0.3, held_out: tuple[int, int] = (4, 2)) -> DataFrame:

@@ -12,12 +12,17 @@ training texts: tasks run the scaled forward and backward recursions and emit
 expected counts, which are summed across partitions.  The likelihood of a whole
 text comes exactly from the scaled forward recursion.
 
-Texts are read once.  Word counts go to tasks by hash of the word, as packed
-arrays for each block of documents and bucket of words (a frequent word is one
-entry a block), and only sums by document come back.  What the driver sees are
-class totals and model parameters, of fixed size.
-
-Defined results: a null or empty text is its end token alone; null keys and
+Texts are read once, into a row for each document with its classes and one for
+each block of documents with its distinct words and where they are.  Words are
+counted by a grouped sum that combines in the tasks first.  Words of a share of
+``frequent`` of all tokens or more, of which there are 1 / frequent at most, are
+broadcast with their counts; all others are asked for by one row for each block
+that holds them, so that no key has more than that share of the rows, and what is
+found goes back to its block.  What the driver sees are these counts, class totals
+and model parameters, all of bounded size.
+
+Defined results: a null or empty text is its end token alone; a very long text is a
+block of its own, its recursion carried from window to window; null keys and
 repeated rows are kept (repeats count as often as they are there); without
 training texts all tokens are unknown; an empty table gives an empty result;
 other columns are not read.
@@ -25,12 +30,13 @@ other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +55,8 @@ class Params:
     seed: int = 5
     #: Tokens of a window: sequences are cut into windows for training, and for the parallel recursion of scoring.
     window: int = 128
-    #: Documents for each bucket of words.
-    bucket_docs: int = 8_000
-    least_buckets: int = 32
+    #: Share of all tokens from which a word's count is broadcast.
+    frequent: float = 1e-6
 
     @property
     def classes(self) -> int:
@@ -86,14 +91,14 @@ def tokenised(texts: pa.Array, p: Params) -> tuple[np.ndarray, np.ndarray, np.nd
     return hashes, kinds, first
 
 
-_READ = "bucket int, block long, row int, doc_id {}, held_out boolean, n long, kinds binary, words binary, word_kinds binary, each binary, docs binary, times binary, trained binary"
+_READ = "whole boolean, block long, row int, doc_id {}, held_out boolean, n long, kinds binary, words binary, word_kinds binary, seen binary, each binary, docs binary, times binary"
 _NAMES = [x.split()[0] for x in _READ.split(", ")]
 
 
-def _reader(p: Params, buckets: int, id_type: pa.DataType):
-    """Turns (doc_id, held_out, text) batches into a row for each document and one for each block and bucket."""
+def _reader(p: Params, id_type: pa.DataType):
+    """Turns (doc_id, held_out, text) batches into a row for each document, and one (whole) for each block of them."""
 
-    types = [pa.int32(), pa.int64(), pa.int32(), id_type, pa.bool_(), pa.int64(), *[pa.binary()] * 7]
+    types = [pa.bool_(), pa.int64(), pa.int32(), id_type, pa.bool_(), pa.int64(), *[pa.binary()] * 7]
 
     def batch_of(n: int, given: dict[str, pa.Array]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([given[k].cast(t) if k in given else pa.nulls(n, t) for k, t in zip(_NAMES, types, strict=True)], _NAMES)
@@ -104,78 +109,89 @@ def _reader(p: Params, buckets: int, id_type: pa.DataType):
             for part in tokens.slices(batch, 2, _SLICE):
                 block += 1
                 n = len(part)
-                hashes, kinds, first = tokenised(part.column(2), p)
-                size = np.diff(first)
+                read = [tokenised(x.column(2), p) for x in tokens.slices(part, 2, _SLICE // 4)]
+                hashes, kinds = (np.concatenate([x[k] for x in read]) for k in (0, 1))
+                size = np.concatenate([np.diff(x[2]) for x in read])
+                first = np.concatenate([[0], np.cumsum(size)])
                 sequences = [kinds[first[i] : first[i + 1]].tobytes() for i in range(n)]
-                yield batch_of(n, {"block": pa.array(np.full(n, block)), "row": pa.array(np.arange(n)), "doc_id": part.column(0), "held_out": part.column(1), "n": pa.array(size), "kinds": pa.array(sequences, pa.binary())})
+                yield batch_of(n, {"whole": pa.array(np.zeros(n, bool)), "block": pa.array(np.full(n, block)), "row": pa.array(np.arange(n)), "doc_id": part.column(0), "held_out": part.column(1), "n": pa.array(size), "kinds": pa.array(sequences, pa.binary())})
 
                 word, back = np.unique(hashes, return_inverse=True)
                 kind = np.zeros(len(word), np.uint16)
                 kind[back] = kinds
                 pair, times = np.unique(back.astype(np.int64) * n + np.repeat(np.arange(n), size), return_counts=True)
                 of, doc = pair // n, pair % n
-                each = np.bincount(of, minlength=len(word))
-                trained = (~np.asarray(part.column(1).to_pylist(), bool)).astype(np.uint8).tobytes()
-                bucket = (tokens.mix(word) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                # Pairs in the order of their words' buckets.
-                begin = np.concatenate([[0], np.cumsum(each)])[:-1]
-                moved = each[order]
-                index = np.arange(len(doc)) + np.repeat(begin[order] - (np.cumsum(moved) - moved), moved)
-                doc, times, ends = doc[index].astype(np.uint32), times[index].astype(np.uint32), np.concatenate([[0], np.cumsum(moved)])
-                rows = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-                own = [(slice(cut[b], cut[b + 1]), slice(ends[cut[b]], ends[cut[b + 1]])) for b in rows]
-                packed = lambda x, k: pa.array([x[o[k]].tobytes() for o in own], pa.binary())  # noqa: B023, E731
-                yield batch_of(
-                    len(rows),
-                    {"bucket": pa.array(rows), "block": pa.array([block] * len(rows)), "words": packed(word[order], 0), "word_kinds": packed(kind[order], 0), "each": packed(moved.astype(np.uint32), 0), "docs": packed(doc, 1), "times": packed(times, 1), "trained": pa.array([trained] * len(rows), pa.binary())},
-                )
+                trained = ~np.asarray(part.column(1).to_pylist(), bool)
+                seen = np.bincount(of, times * trained[doc], minlength=len(word)).astype(np.uint32)
+                packed = lambda x, t: pa.array([x.astype(t).tobytes()], pa.binary())
+                given = {"words": packed(word, np.uint64), "word_kinds": packed(kind, np.uint16), "seen": packed(seen, np.uint32), "each": packed(np.bincount(of, minlength=len(word)), np.uint32), "docs": packed(doc, np.uint32), "times": packed(times, np.uint32)}
+                yield batch_of(1, {"whole": pa.array([True]), "block": pa.array([block]), **given})
 
     return run
 
 
-def _counted(p: Params):
-    """For one bucket of words: class totals (row -1), and each block's sums by document."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        words = [np.frombuffer(r["words"], np.uint64) for r in rows]
-        each = [np.frombuffer(r["each"], np.uint32).astype(np.int64) for r in rows]
-        docs = [np.frombuffer(r["docs"], np.uint32) for r in rows]
-        times = [np.frombuffer(r["times"], np.uint32).astype(np.int64) for r in rows]
-        word, back = np.unique(np.concatenate(words), return_inverse=True)
-        kind = np.zeros(len(word), np.int64)
-        kind[back] = np.concatenate([np.frombuffer(r["word_kinds"], np.uint16) for r in rows])
-        seen = [np.add.reduceat(t * np.frombuffer(r["trained"], np.uint8)[d], np.cumsum(e) - e) for r, e, d, t in zip(rows, each, docs, times, strict=True)]
-        count = np.bincount(back, np.concatenate(seen), minlength=len(word)).astype(np.int64)
-        out: dict[str, list] = {"block": [None], "docs": [None], "logs": [None], "known": [None]}
-        total, types = np.bincount(kind, count, minlength=p.classes).astype(np.int64), np.bincount(kind, count > 0, minlength=p.classes).astype(np.int64)
-        out["totals"], out["types"] = [total.tobytes()], [types.tobytes()]
-        weight, known, at = np.log10(count + 0.5), count > 0, 0
-        for r, e, d, t in zip(rows, each, docs, times, strict=True):
-            own = np.repeat(back[at : at + len(e)], e)
-            at += len(e)
-            doc, place = np.unique(d, return_inverse=True)
-            out["block"].append(r["block"])
-            out["docs"].append(doc.tobytes())
-            out["logs"].append(np.bincount(place, t * weight[own]).tobytes())
-            out["known"].append(np.bincount(place, t * known[own]).astype(np.uint32).tobytes())
-            out["totals"].append(None)
-            out["types"].append(None)
-        return pa.table({k: pa.array(v, pa.int64() if k == "block" else pa.binary()) for k, v in out.items()})
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, kind, n) of blocks' (words, word_kinds, seen), added up over a task's blocks as far as they are at hand."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def added() -> pa.RecordBatch:
+        words, kinds, seen = (np.concatenate([h[k] for h in held]) for k in range(3))
+        word, at, back = np.unique(words, return_index=True, return_inverse=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(kinds[at].astype(np.int32)), pa.array(np.bincount(back, seen).astype(np.int64))], ["word", "kind", "n"])
+
+    for batch in batches:
+        for part in tokens.slices(batch, 0):
+            for words, kinds, seen in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                times = np.frombuffer(seen, np.uint32)
+                some = times > 0
+                held.append((np.frombuffer(words, np.uint64)[some], np.frombuffer(kinds, np.uint16)[some], times[some]))
+            if sum(len(h[0]) for h in held) > 1_000_000:
+                yield added()
+    if held:
+        yield added()
+
+
+def _asked(shared: Broadcast):
+    """(block, at, word) of the words of blocks (block, words) that are not frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = shared.value[0]
+        for batch in batches:
+            for part in tokens.slices(batch, 1):
+                for block, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    words = np.frombuffer(raw, np.int64)
+                    at = np.flatnonzero(~_among(words, frequent)[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block)), pa.array(at.astype(np.int32)), pa.array(words[at])], ["block", "at", "word"])
 
     return run
 
 
-def _summed(table: pa.Table) -> pa.Table:
-    """The sums of one block's documents over all buckets."""
-    rows = table.to_pylist()
-    docs = np.concatenate([np.frombuffer(r["docs"], np.uint32) for r in rows])
-    logs = np.bincount(docs, np.concatenate([np.frombuffer(r["logs"], np.float64) for r in rows]))
-    known = np.bincount(docs, np.concatenate([np.frombuffer(r["known"], np.uint32) for r in rows]))
-    n = len(logs)
-    return pa.table({"block": pa.array([rows[0]["block"]] * n, pa.int64()), "row": pa.array(np.arange(n), pa.int32()), "logs": pa.array(logs), "n_known": pa.array(known.astype(np.int64))})
+def _among(words: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words would stand among known ones (sorted), and whether they do."""
+    at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
+    return at, known[at] == words if len(known) else np.zeros(len(words), bool)
+
+
+def _summed(shared: Broadcast):
+    """(block, row, logs, n_known) of a block's documents, from its row and the counts found for its rarer words."""
+
+    def run(blocks: pa.Table, found: pa.Table) -> pa.Table:
+        frequent, counts = shared.value
+        out = []
+        for r in blocks.to_pylist():
+            words = np.frombuffer(r["words"], np.int64)
+            at, there = _among(words, frequent)
+            count = np.zeros(len(words), np.int64)
+            count[there] = counts[at[there]]
+            count[found["at"].to_numpy()] = found["n"].to_numpy()
+            own = np.repeat(np.arange(len(words)), np.frombuffer(r["each"], np.uint32))
+            docs, times = np.frombuffer(r["docs"], np.uint32), np.frombuffer(r["times"], np.uint32).astype(np.int64)
+            logs, known = np.bincount(docs, times * np.log10(count + 0.5)[own]), np.bincount(docs, times * (count > 0)[own])
+            out.append(pa.table({"block": pa.array(np.full(len(logs), r["block"])), "row": pa.array(np.arange(len(logs), dtype=np.int32)), "logs": pa.array(logs), "n_known": pa.array(known.astype(np.int64))}))
+        return pa.concat_tables(out) if out else pa.table({"block": pa.array([], pa.int64()), "row": pa.array([], pa.int32()), "logs": pa.array([], pa.float64()), "n_known": pa.array([], pa.int64())})
+
+    return run
 
 
 def _windows(sequences: list[np.ndarray], p: Params) -> tuple[np.ndarray, np.ndarray]:
@@ -297,7 +313,7 @@ def _expectations(rows: DataFrame, m: Model, p: Params) -> Model:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["k", "v"])
 
-    found = rows.select("kinds").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()  # parameters of the model
+    found = rows.select("kinds").mapInArrow(tokens.tidied(run), "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()  # parameters of the model
     total = np.zeros(sum(n for _, n in shapes))
     for r in found:
         total[r["k"]] = r["v"]
@@ -318,27 +334,31 @@ def first_model(totals: np.ndarray, p: Params) -> Model:
 
 def score(docs: DataFrame, p: Params = Params(), held_out: tuple[int, int] = (5, 1), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    buckets = max(p.least_buckets, docs.count() // p.bucket_docs)
-    given = docs.select(F.col(id_col), (remainder(F.col(id_col), held_out[0]) == held_out[1]).alias("held_out"), F.col(text_col))
     from pyspark.sql.pandas.types import to_arrow_type
 
+    given = docs.select(F.col(id_col), (remainder(F.col(id_col), held_out[0]) == held_out[1]).alias("held_out"), F.col(text_col))
     id_type = docs.schema[id_col].dataType
-    read = stored(given.mapInArrow(_reader(p, buckets, to_arrow_type(id_type)), _READ.format(id_type.simpleString())))
-    texts = read.where("bucket is null").select("block", "row", "doc_id", "held_out", "n", "kinds")
+    read = stored(given.mapInArrow(tokens.tidied(_reader(p, to_arrow_type(id_type))), _READ.format(id_type.simpleString())))
+    texts = read.where("not whole").select("block", "row", "doc_id", "held_out", "n", "kinds")
+    blocks = read.where("whole")
 
-    made = "block long, docs binary, logs binary, known binary, totals binary, types binary"
-    counts = stored(read.where("bucket is not null").select("bucket", "block", "words", "word_kinds", "each", "docs", "times", "trained").groupBy("bucket").applyInArrow(_counted(p), made))
+    counts = blocks.select("words", "word_kinds", "seen").mapInArrow(tokens.tidied(_counted), "word long, kind int, n long").groupBy("word").agg(F.first("kind").alias("kind"), F.sum("n").alias("n"))
+    counts = stored(counts)
     totals, types = np.zeros(p.classes, np.int64), np.zeros(p.classes, np.int64)
-    per_class = counts.where("block is null").select("totals", "types").mapInArrow(_added(p), "k long, total long, types long").groupBy("k").agg(F.sum("total").alias("total"), F.sum("types").alias("types"))
-    for r in per_class.collect():  # one row for each class
-        totals[r["k"]], types[r["k"]] = r["total"], r["types"]
-    sums = counts.where("block is not null").select("block", "docs", "logs", "known").groupBy("block").applyInArrow(_summed, "block long, row int, logs double, n_known long")
+    for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():  # one row for each class
+        totals[r["kind"]], types[r["kind"]] = r["n"], r["types"]
+    all_tokens, all_types = int(totals.sum()), int(types.sum())
+    often = F.col("n") >= max(1, math.ceil(p.frequent * all_tokens))
+    top = counts.where(often).select("word", "n").toArrow().sort_by("word")  # 1 / frequent rows at most
+    shared = docs.sparkSession.sparkContext.broadcast((top["word"].to_numpy(), top["n"].to_numpy()))
+    asked = blocks.select("block", "words").mapInArrow(tokens.tidied(_asked(shared)), "block long, at int, word long")
+    found = asked.join(counts.where(~often).select("word", "n"), "word").select("block", "at", "n")
+    sums = blocks.select("block", "words", "each", "docs", "times").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_summed(shared), "block long, row int, logs double, n_known long")
 
     model = first_model(totals, p)
     training = texts.where("not held_out")
     for _ in range(p.iterations):
         model = _expectations(training, model, p)
-    all_tokens, all_types = int(totals.sum()), int(types.sum())
     base_norm = np.log10(all_tokens + 0.5 * (all_types + 1))
     class_norm = np.log10(totals + 0.5 * (types + 1))
 
@@ -350,17 +370,6 @@ def score(docs: DataFrame, p: Params = Params(), held_out: tuple[int, int] = (5,
                 norm = tokens.sums(class_norm[np.concatenate(own)], first)
                 yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(log_likelihoods(own, model, p) - norm)], ["block", "row", "doc_id", "held_out", "n_tokens", "latent"])
 
-    scored = texts.mapInArrow(run, f"block long, row int, doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, latent double")
+    scored = texts.mapInArrow(tokens.tidied(run), f"block long, row int, doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, latent double")
     return scored.join(sums, ["block", "row"]).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(all_tokens).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * float(base_norm)).alias("base_score"), (F.col("logs") + F.col("latent")).alias("score"))
 
-
-def _added(p: Params):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, types = np.zeros(p.classes, np.int64), np.zeros(p.classes, np.int64)
-        for batch in batches:
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total += np.frombuffer(x, np.int64)
-                types += np.frombuffer(y, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(p.classes)), pa.array(total), pa.array(types)], ["k", "total", "types"])
-
-    return run

@@ -1,6 +1,8 @@
 """Near duplicates by DartMinHash signatures, banded candidates and exact checks.
 
-A document is the set of its shingles of five lower-cased words.  DartMinHash
+A document is the weighted set of its shingles of five lower-cased words: a shingle
+weighs as much as it is often there, and similarity is weighted Jaccard, the sum of
+the lesser weights over the sum of the greater ones.  DartMinHash
 throws darts at each element's region: darts arrive in every unit of weight as a
 Poisson process over ranks, from hashes of the element and the unit alone, so
 documents that share an element see the same darts.  Only darts under a rank
@@ -11,8 +13,8 @@ each shingle and k ln k for each document.
 
 32 bands of 5 coordinates make candidates (a pair at similarity 0.8 shares no
 band once in 3e5 pairs).  In each bucket all members are compared with the
-bucket's hub, the member that meets most others, by the exact Jaccard similarity
-of their shingle sets; what is linked becomes one component.  Only members of
+bucket's hub, the member that meets most others, by the exact similarity of their
+weighted sets; what is linked becomes one component.  Only members of
 different components that have not been compared yet are compared further.  They
 are dealt out anew by their rarest shingles (a prefix filter, which loses no pair of
 the threshold), and compared with more pivots in each round, until no bucket holds
@@ -24,7 +26,7 @@ A text is known by the first 64 bits of its MD5, so exact copies are one node.
 Defined results: a null text is an empty one; texts without words are linked to
 byte-identical texts only; texts of fewer than five words have one shingle, all
 their words; repeated rows fall in one class; the class of rows that all have
-null keys is null; an empty table gives an empty result; other columns are
+null keys is null; a very long text is one set, held whole by its task; an empty table gives an empty result; other columns are
 carried by ``deduplicated`` as they are.
 """
 
@@ -78,6 +80,27 @@ def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens.mix(out), first
 
 
+def weighted(shingled: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of each document in order, their offsets, and how often each is there."""
+    if not len(shingled):
+        return shingled, first, np.zeros(0)
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((shingled, doc))
+    own, of = shingled[order], doc[order]
+    begin = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (of[1:] != of[:-1])]))
+    return own[begin], np.searchsorted(of[begin], np.arange(len(first))), np.diff(np.append(begin, len(own))).astype(float)
+
+
+def unit_sets(shingled: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sets whose plain Jaccard similarity is the weighted one: a shingle's first, second, ... occurrence are different elements."""
+    own, first, times = weighted(shingled, first)
+    units = times.astype(np.int64)
+    upto = np.cumsum(units)
+    number = (np.arange(units.sum()) - np.repeat(upto - units, units)).astype(np.uint64)
+    offsets = np.concatenate([[0], upto])[first]
+    return np.where(number == 0, np.repeat(own, units), tokens.mix(np.repeat(own, units) + number * np.uint64(0xD6E8FEB86659FD93))), offsets
+
+
 def dart_minhash(elements: np.ndarray, first: np.ndarray, k: int, seed: int = 1, weights: np.ndarray | None = None) -> np.ndarray:
     """Signatures (documents x k) of weighted sets; elements first[i]:first[i + 1] are document i's.
 
@@ -153,23 +176,24 @@ def _sketches(docs: DataFrame, text_col: str, p: Params) -> DataFrame:
                 nodes = np.array([_node(t.encode()) for t in texts.to_pylist()], np.int64)
                 own, first = shingles(texts, p.words)
                 some = np.diff(first) > 0
-                keys = band_keys(dart_minhash(own, first, p.bands * p.rows, p.seed), p.bands, p.rows)[some]
+                own, first, times = weighted(own, first)
+                keys = band_keys(dart_minhash(own, first, p.bands * p.rows, p.seed, times), p.bands, p.rows)[some]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * p.bands, pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), bands], ["node", "bands"])
 
-    return docs.select(text_col).mapInArrow(run, "node long, bands array<long>")
+    return docs.select(text_col).mapInArrow(tokens.tidied(run), "node long, bands array<long>")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
-    """Of pairs (a, b) of nodes those whose texts' shingle sets are similar enough."""
+    """Of pairs (a, b) of nodes those whose texts' weighted shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tokens.slices(batch, 2):
-                (x, fx), (y, fy) = shingles(part.column(2), p.words), shingles(part.column(3), p.words)
+            for part in tokens.slices(batch, (2, 3)):
+                (x, fx), (y, fy) = (unit_sets(*shingles(part.column(k), p.words)) for k in (2, 3))
                 good = np.zeros(len(part), bool)
                 for i in range(len(part)):
-                    u, v = np.unique(x[fx[i] : fx[i + 1]]), np.unique(y[fy[i] : fy[i + 1]])
+                    u, v = x[fx[i] : fx[i + 1]], y[fy[i] : fy[i + 1]]
                     if p.threshold * max(len(u), len(v)) <= min(len(u), len(v)) + 1e-9:
                         both = len(np.intersect1d(u, v, assume_unique=True))
                         good[i] = both >= p.threshold * (len(u) + len(v) - both) - 1e-9
@@ -177,7 +201,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
 
     one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return two.select("a", "b", "ta", "tb").mapInArrow(tokens.tidied(run), "a long, b long")
 
 
 def _prefixes(texts: DataFrame, p: Params) -> DataFrame:
@@ -193,21 +217,21 @@ def _prefixes(texts: DataFrame, p: Params) -> DataFrame:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for part in tokens.slices(batch, 0):
-                total += np.bincount((shingles(part.column(0), p.words)[0] >> shift).astype(np.int64), minlength=SLOTS)
+                total += np.bincount((unit_sets(*shingles(part.column(0), p.words))[0] >> shift).astype(np.int64), minlength=SLOTS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
 
-    counted = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    counted = texts.select("text").mapInArrow(tokens.tidied(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
     often = np.zeros(SLOTS, np.int64)
     often[counted["slot"].to_numpy()] = counted["n"].to_numpy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tokens.slices(batch, 1):
-                own, first = shingles(part.column(1), p.words)
+                own, first = unit_sets(*shingles(part.column(1), p.words))
                 kept, size, total = [], [], []
                 for i in range(len(part)):
-                    u = np.unique(own[first[i] : first[i + 1]])
+                    u = own[first[i] : first[i + 1]]
                     n = len(u) - int(np.ceil(p.threshold * len(u) - 1e-9)) + 1
                     kept.append(u[np.lexsort((u, often[(u >> shift).astype(np.int64)]))[:n]])
                     size.append(len(kept[-1]))
@@ -215,7 +239,7 @@ def _prefixes(texts: DataFrame, p: Params) -> DataFrame:
                 place = np.concatenate([np.arange(1, n + 1) for n in size])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept).view(np.int64)), pa.array(np.repeat(np.asarray(part.column(0)), size)), pa.array(np.repeat(total, size)), pa.array(place)], ["bucket", "node", "size", "place"])
 
-    return texts.select("node", "text").mapInArrow(run, "bucket long, node long, size long, place long")
+    return texts.select("node", "text").mapInArrow(tokens.tidied(run), "bucket long, node long, size long, place long")
 
 
 def _weighted(members: DataFrame) -> DataFrame:
@@ -249,7 +273,7 @@ def classes(docs: DataFrame, p: Params = Params(), text_col: str = "text") -> Da
         enough = F.lit(banded) | (1 + F.least(F.col("size") - F.col("place"), F.col("sx") - F.col("px")) >= p.threshold / (1 + p.threshold) * (F.col("size") + F.col("sx")) - 1e-6)
         new = rest.join(chosen, "bucket").where("root <> rx and (node < x or not pivot)").where(enough).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
         new = stored(new.join(tested, ["a", "b"], "left_anti"))
-        tested = stored(tested.union(new))
+        tested = tested.union(new)  # each round's part stays as it was written
         links = _linked(new, texts, p).join(labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
         links = stored(links.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
         if links.take(1):

@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 import regex
 from pyspark.sql import functions as F
-from test_operators import WORD, brute_classes, brute_targets
+from test_operators import DOC, WORD, brute_classes, labels, odd, plain_mix
 
 from quire.llm import bpe, mixing, toxicity
 from quire.llm.tables import labelled_sample, stored, table
@@ -52,28 +52,6 @@ def plain_clean(docs):
     return {k: ("\n".join(x for x in t.split("\n") if (s, x.strip(" ")) not in bad), s) for k, (t, s) in docs.items()}
 
 
-def plain_mix(docs, chance):
-    """How often each key is taken, by Pareto order sampling with the given random numbers."""
-    size, copies = {k: len(WORD.findall(t)) for k, (t, _) in docs.items()}, {}
-    total = collections.Counter()
-    for k, (_, s) in docs.items():
-        total[s] += size[k]
-    for source, target in brute_targets(dict(total)).items():
-        rate = target / total[source] if total[source] else 0.0
-        whole = int(rate + 1e-9)
-        p = max(rate - whole, 0.0)
-        own = [k for k, (_, s) in docs.items() if s == source]
-        copies |= dict.fromkeys(own, whole)
-        want, upto = target - whole * total[source], 0
-        if p > 1e-9:
-            for k in sorted((k for k in own if size[k]), key=lambda k: chance[k] / (1 - chance[k]) / (p / (1 - p))):
-                upto += size[k]
-                if upto - size[k] / 2 > want:
-                    break
-                copies[k] += 1
-    return {k: n for k, n in copies.items() if n and size[k]}
-
-
 def plain_ids(text, ranks, seen):
     out = []
     for piece in regex.findall(public_tokenizers.PATTERN, text):
@@ -107,3 +85,25 @@ def test_run_equals_plain_python(spark, sf):
     got = sorted((r["doc_id"], r["text"], list(struct.unpack(f"<{r['n_tokens']}I", r["ids"]))) for r in pipeline.run(spark, sf).collect() if WORD.search(r["text"]))
     assert [(k, t) for k, t, _ in got] == [(k, t) for k, t, _ in want]
     assert got == want
+
+
+def test_stages_of_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, columns named as the stages name theirs."""
+    rows = odd(spark).withColumn("n_tokens", F.lit("mine")).withColumn("decoded", F.lit("own"))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    labels(spark, (1, 1, 0), (2, None, None), (None, 1, 1), (1, 0, 1)).write.parquet(f"{tmp_path}/labels.parquet")
+    given = docs = table(spark, str(tmp_path), "documents")
+    counts = {}
+    for name, stage in pipeline.STAGES:
+        docs = stored(stage(spark, docs, str(tmp_path)))
+        counts[name] = docs.count()
+        if name != pipeline.STAGES[-1][0]:
+            assert docs.columns == given.columns
+    assert counts["toxicity"] == counts["line dedup"] == 9
+    assert counts["MinHash near-dedup"] == 6
+    got = docs.collect()
+    assert docs.columns == [c for c in given.columns if c not in ("ids", "n_tokens")] + ["n_tokens", "ids"] and {r["decoded"] for r in got} <= {"own"}
+    assert {r["doc_id"] for r in got} <= {None, 1, 4, 6} and all(len(r["ids"]) == 4 * r["n_tokens"] > 0 for r in got)
+    every = {r["doc_id"]: r for r in pipeline.tokenise(spark, given, str(tmp_path)).collect()}
+    assert (every[2]["text"], every[2]["n_tokens"], every[3]["text"], every[3]["n_tokens"]) == (None, 0, "", 0)
+    assert len(DOC.split(", ")) + 2 == len(given.columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,13 +13,21 @@ from pyspark.sql import functions as F
 CONTROL = r"[\p{Cc}\p{Cf}\p{Co}\p{Cs}]"
 NOT_IN_FILE_NAMES = r'[/:*?"<>|\\]+'
 CJK = r"[一-鿿]"
+#: White space of any kind.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: What ends a line, besides \n.
 LINE_ENDS = "\r\n|[\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
+def let(body: Callable[..., Column], *values: Column) -> Column:
+    """``body`` of the values, each computed once: an expression that is used in several places is otherwise copied to all of them."""
+    bound = F.struct(*(v.alias(f"v{i}") for i, v in enumerate(values)))
+    return F.get(F.transform(F.array(bound), lambda x: body(*(x[f"v{i}"] for i in range(len(values))))), F.lit(0))
+
+
 def strip(c: Column) -> Column:
-    """Without white space of any kind at both ends (trim takes blanks only)."""
-    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    """Without white space of any kind at both ends (trim alone takes blanks only)."""
+    return F.trim(c, F.lit(WHITE))
 
 
 def strip_chars(c: Column, chars: str) -> Column:
@@ -35,7 +44,8 @@ def without_controls(c: Column) -> Column:
 
 
 def lines(c: Column) -> Column:
-    return F.split(F.regexp_replace(c, LINE_ENDS, "\n"), "\n", -1)
+    """The lines of a text; the pattern is run only on texts that have other ends than \\n."""
+    return F.split(F.when(c.rlike(LINE_ENDS), F.regexp_replace(c, LINE_ENDS, "\n")).otherwise(c), "\n", -1)
 
 
 def blank_to_null(c: Column) -> Column:
@@ -46,6 +56,11 @@ def sha256(c: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(c.cast("binary"), 256))
 
 
+def json_hash(c: Column) -> Column:
+    """The hash of a JSON text that doesn't depend on white space or the order of keys: a variant keeps its keys sorted."""
+    return sha256(F.to_json(F.try_parse_json(c)))
+
+
 def excerpt(c: Column, limit: int = 240) -> Column:
     return F.substring(collapse(c), 1, limit)
 

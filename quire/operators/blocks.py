@@ -23,40 +23,49 @@ _PLACES = "array<struct<section_id:string,section_path:array<string>>>"
 
 
 def block_type(t: Column) -> Column:
-    s = T.strip(t)
+    return type_of_stripped(T.strip(t))
+
+
+def type_of_stripped(s: Column) -> Column:
+    """The type of a block without white space at its ends. Cheap tests come first: inside a lambda nothing is shared."""
     low = F.lower(s)
-    piped = F.forall(F.split(s, "\n"), lambda x: F.regexp_replace(x, r"(?U)\A\s+", "").startswith("|"))
+    piped = F.forall(F.split(s, "\n"), lambda x: F.ltrim(x, F.lit(T.WHITE)).startswith("|"))
     return (
         F.when(s.startswith("#"), "heading")
         .when(s.startswith("!["), "image")
         .when(s.startswith("$$") | s.endswith("$$"), "formula")
-        .when(low.contains("<table") | low.contains("</table>"), "table")
-        .when((s != "") & piped, "table")
-        .when(s.rlike(r"(?i)\A(references|bibliography)\z"), "reference")
+        .when(s.contains("<") & (low.contains("<table") | low.contains("</table>")), "table")
+        .when(s.startswith("|") & piped, "table")
+        .when((F.length(s) <= 12) & low.isin("references", "bibliography"), "reference")
         .otherwise("paragraph")
     )
 
 
 def _segmented(docs: DataFrame, markdown: str) -> DataFrame:
-    """Adds _blocks: array of (start_line, end_line, text, type, refers, level, heading)."""
+    """Adds _blocks: array of (start_line, end_line, text, type, refers, level, heading); the last three are of headings only."""
     docs = docs.withColumn("_lines", T.lines(F.coalesce(F.col(markdown), F.lit(""))))
-    docs = docs.withColumn("_solid", F.transform("_lines", lambda x: x.rlike(r"(?U)\S"))).withColumn("_hash", F.transform("_lines", lambda x: x.startswith("#")))
-    flag = lambda name, i: F.coalesce(F.get(F.col(name), i), F.lit(False))
+    # 0: blank, 1: text, 2: starts a block of its own.
+    docs = docs.withColumn("_kinds", F.transform("_lines", lambda x: F.when(x.startswith("#"), 2).when(F.ltrim(x, F.lit(T.WHITE)) == "", 0).otherwise(1)))
+    at = lambda i: F.get(F.col("_kinds"), i)
     number = F.sequence(F.lit(0), F.size("_lines") - 1)
-    first = F.filter(number, lambda i: flag("_solid", i) & (~flag("_solid", i - 1) | flag("_hash", i)))
-    last = F.filter(number, lambda i: flag("_solid", i) & (~flag("_solid", i + 1) | flag("_hash", i + 1)))
+    first = F.filter(number, lambda i: (at(i) == 2) | (at(i) == 1) & F.coalesce(at(i - 1) == 0, F.lit(True)))
+    last = F.filter(number, lambda i: (at(i) > 0) & F.coalesce(at(i + 1) != 1, F.lit(True)))
     docs = docs.withColumn("_spans", F.arrays_zip(first.alias("a"), last.alias("z")))
-    docs = docs.withColumn("_blocks", F.transform("_spans", lambda x: F.struct((x["a"] + 1).alias("start_line"), (x["z"] + 1).alias("end_line"), F.array_join(F.slice("_lines", x["a"] + 1, x["z"] - x["a"] + 1), "\n").alias("text"))))
-    typed = lambda b: F.struct(
-        b["start_line"].alias("start_line"),
-        b["end_line"].alias("end_line"),
+    text = lambda x: F.array_join(F.slice("_lines", x["a"] + 1, x["z"] - x["a"] + 1), "\n")
+    docs = docs.withColumn("_texts", F.transform("_spans", lambda x: F.struct(x["a"].alias("a"), x["z"].alias("z"), text(x).alias("text"))))
+    docs = docs.withColumn("_bare", F.transform("_texts", lambda b: F.struct(b["a"].alias("a"), b["z"].alias("z"), b["text"].alias("text"), T.strip(b["text"]).alias("s"))))
+    docs = docs.withColumn("_typed", F.transform("_bare", lambda b: F.struct(b["a"].alias("a"), b["z"].alias("z"), b["text"].alias("text"), b["s"].alias("s"), type_of_stripped(b["s"]).alias("type"))))
+    bare = lambda b: F.ltrim(b["text"], F.lit("#"))
+    full = lambda b: F.struct(
+        (b["a"] + 1).alias("start_line"),
+        (b["z"] + 1).alias("end_line"),
         b["text"].alias("text"),
-        block_type(b["text"]).alias("type"),
-        T.strip(b["text"]).rlike(r"(?iU)\A#+\s*(references|bibliography)\b").alias("refers"),
-        (F.length(b["text"]) - F.length(F.ltrim(b["text"], F.lit("#")))).alias("level"),
-        T.strip(F.ltrim(b["text"], F.lit("#"))).alias("heading"),
+        b["type"].alias("type"),
+        F.when(b["type"] == "heading", b["s"].rlike(r"(?iU)\A#+\s*(references|bibliography)\b")).otherwise(False).alias("refers"),
+        F.when(b["type"] == "heading", F.length(b["text"]) - F.length(bare(b))).alias("level"),
+        F.when(b["type"] == "heading", T.strip(bare(b))).alias("heading"),
     )
-    return docs.withColumn("_blocks", F.transform("_blocks", typed)).drop("_lines", "_solid", "_hash", "_spans")
+    return docs.withColumn("_blocks", F.transform("_typed", full)).drop("_lines", "_kinds", "_spans", "_texts", "_bare", "_typed")
 
 
 def _sectioned(docs: DataFrame) -> DataFrame:

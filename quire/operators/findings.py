@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,24 +14,30 @@ PROTECTED_TYPES = ("formula", "table", "reference")
 FRONT_MATTER = ("article", "open", "open access", "check for updates", "research article", "original article")
 OCR_WORDS = ("Te", "Tere", "fssion", "diferent", "scientifc", "efciency", "frst", "simplifed")
 PAGE_NUMBER = r"(?iU)\A(\d+|page\s+\d+)\z"
+SPACED_LETTERS = r"(?U)(?<![A-Za-z])(?:[A-Za-z]\s+){3,}[A-Za-z](?![A-Za-z])"
+SPACED_DIGITS = r"(?U)(?<!\d)(?:\d\s+){2,}\d(?!\d)"
+SPACED_MATH = r"(?U)\$[^$]*(?:[A-Za-z0-9]\s+){2,}[A-Za-z0-9][^$]*\$"
 
 
 def has_spaced_letters(t: Column) -> Column:
-    return t.rlike(r"(?U)(?<![A-Za-z])(?:[A-Za-z]\s+){3,}[A-Za-z](?![A-Za-z])")
+    return t.rlike(SPACED_LETTERS)
 
 
 def has_spaced_digits(t: Column) -> Column:
-    return t.rlike(r"(?U)(?<!\d)(?:\d\s+){2,}\d(?!\d)")
+    """Only texts with a digit are searched for them."""
+    return t.rlike(r"\p{Nd}") & t.rlike(SPACED_DIGITS)
 
 
 def is_math_heavy(kind: Column, t: Column) -> Column:
     marks = F.length(t) - F.length(F.translate(t, "$\\_^{}", ""))
-    inline = t.rlike(r"(?U)\$[^$]*(?:[A-Za-z0-9]\s+){2,}[A-Za-z0-9][^$]*\$")
+    inline = t.rlike(SPACED_MATH)
     return kind.isin(*PROTECTED_TYPES) | (t.rlike(r"[$\\_^]") & ((marks >= 8) | inline))
 
 
 def has_ocr_word(t: Column) -> Column:
-    return t.rlike(r"(?U)(^|[^\p{L}\p{N}_])(" + "|".join(OCR_WORDS) + r")($|[^\p{L}\p{N}_])")
+    """Only texts that contain one of the words anywhere are searched for it as a word."""
+    some = reduce(Column.__or__, [t.contains(w) for w in OCR_WORDS])
+    return some & t.rlike(r"(?U)(^|[^\p{L}\p{N}_])(" + "|".join(OCR_WORDS) + r")($|[^\p{L}\p{N}_])")
 
 
 def has_repeated_phrase(words: Column) -> Column:

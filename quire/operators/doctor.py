@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import metadata as M
+from quire.sources.config import CONFIG_FILE, local_converter, wants_local_check
 
 
 def issue(code: str, path: Column, message: Column) -> list[Column]:
@@ -80,5 +82,35 @@ def corrupt_lines(lines: DataFrame, path: str, code: str = "invalid-job-json") -
     return bad.select(*issue(code, F.concat(F.lit(f"{path}:"), "number"), F.lit("not valid JSON")))
 
 
+def missing_config(spark: SparkSession, library: str, there: bool) -> DataFrame:
+    """One row if a library has no settings file."""
+    rows = spark.range(0 if there else 1)
+    return rows.select(*issue("missing-library-config", F.lit(f"{library}/{CONFIG_FILE}"), F.lit("no settings of the library")))
+
+
+def invalid_records(records: DataFrame) -> DataFrame:
+    """Records that can't be read; the other rules don't see them."""
+    return records.where("_corrupt").select(*issue("invalid-paper-yaml", F.col("bundle_path"), F.lit("the record can't be read")))
+
+
+def invalid_conversions(files: DataFrame) -> DataFrame:
+    """Conversion files (path, text) that are no JSON."""
+    bad = files.where(F.col("text").isNull() | F.try_parse_json("text").isNull())
+    return bad.select(*issue("invalid-conversion-json", F.col("path"), F.lit("not valid JSON")))
+
+
+def local_converter_issues(facts: DataFrame) -> DataFrame:
+    """Findings on local converters (executable, wanted, exists, error) whose settings want them checked."""
+    code = F.when(~F.col("exists"), "missing-local-executable").when(F.col("error").isNotNull(), "invalid-local-executable")
+    return facts.where("wanted").withColumn("code", code).where("code is not null").select("code", F.col("executable").alias("path"), F.coalesce("error", F.lit("no such program")).alias("message"))
+
+
+def converter_facts(spark: SparkSession, config: Mapping) -> DataFrame:
+    """One row of what the settings and the machine say of the local converter."""
+    wanted = wants_local_check(config)
+    found = local_converter(config, probe=wanted)
+    return spark.createDataFrame([(found.executable, wanted, found.exists, found.error)], "executable string, wanted boolean, exists boolean, error string")
+
+
 def audit(*rules: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rules)

@@ -117,13 +117,31 @@ def candidates(papers: DataFrame, where: Column, limit: int | None = None) -> Da
     return found if limit is None else in_path_order(found).limit(max(limit, 1))
 
 
+def matches_collection(selected: str | set[str] | None, collection: Column | None = None) -> Column:
+    """Whether a collection is the one asked for, or one of several; asked for none, all are."""
+    own = F.col("collection") if collection is None else collection
+    if not selected:
+        return F.lit(True)
+    return own.isin(*sorted(selected)) if isinstance(selected, set) else own == selected
+
+
 def listing(papers: DataFrame) -> DataFrame:
     return papers.select("id", "name", "collection", "conversion", "metadata_status", "bundle_path")
 
 
+#: The columns of the paper index, where a record has them.
+INDEXED = ("id", "name", "collection", "bundle_path", "title", "creators", "year", "language", "metadata_sources", "metadata_confidence", "conversion", "metadata_status", "naming_status", "import_status")
+
+
 def index_rows(papers: DataFrame) -> DataFrame:
     """The rows of the paper index, a table derived from the records."""
-    return papers.select("id", "name", "collection", "bundle_path", "title", "conversion", "metadata_status")
+    return papers.select(*(c for c in INDEXED if c in papers.columns))
+
+
+def detail_rows(papers: DataFrame) -> DataFrame:
+    """What is told of one paper: its listing and all else that its record holds."""
+    first = listing(papers).columns
+    return papers.select(*first, *(c for c in papers.columns if c not in first))
 
 
 def nearest_bundle(queries: DataFrame, papers: DataFrame, path: str = "path") -> DataFrame:
@@ -145,8 +163,10 @@ def census(files: DataFrame) -> DataFrame:
     return files.groupBy(bundle_name(F.col("path")).alias("name"), "kind").agg(F.count("*").alias("n"))
 
 
-def seeded_sample(files: DataFrame, n: int, seed: int, path: str = "path") -> DataFrame:
-    """n rows in the order of a hash of seed and path: the same on each run."""
+def seeded_sample(files: DataFrame, n: int, seed: int, path: str = "path", whole: bool = False) -> DataFrame:
+    """n rows in the order of a hash of seed and path: the same on each run.  With ``whole``, fewer rows than that are an error."""
+    if whole and (there := files.limit(n).count()) < n:
+        raise ValueError(f"a sample of {n} was asked for, but there are only {there}")
     turn = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(path)), 256)
     return files.withColumn("turn", turn).orderBy("turn", path).limit(n).drop("turn")
 
@@ -154,3 +174,33 @@ def seeded_sample(files: DataFrame, n: int, seed: int, path: str = "path") -> Da
 def first_by(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """The first row of each key.  Ranked with a limit, so each task keeps one row a key before the shuffle."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+# What a bundle may hold, and where.
+ARTIFACTS = {
+    "paper_yaml": "paper.yaml", "original_pdf": "original.pdf", "paper_md": "paper.md", "images_dir": "images", "raw_dir": "raw/converter", "conversion_json": "conversion.json", "repair_json": "repair.json",
+    "summary_json": "extracts/summary/summary.json", "summary_md": "extracts/summary/summary.md", "source_map_json": "extracts/summary/source-map.json",
+}
+#: Those of which the content is told too, by the name it has there.
+SIDECARS = {"conversion": "conversion_json", "repair": "repair_json", "summary": "summary_json", "source_map": "source_map_json"}
+
+
+def expected_artifacts(papers: DataFrame) -> DataFrame:
+    """bundle_path, artifact, path: a row for each artifact that a bundle may hold."""
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("artifact"), F.lit(at).alias("at")) for name, at in ARTIFACTS.items()))).alias("a")
+    return papers.select("bundle_path", each).select("bundle_path", "a.artifact", F.concat_ws("/", "bundle_path", "a.at").alias("path"))
+
+
+def inspected(papers: DataFrame, files: DataFrame, texts: DataFrame) -> DataFrame:
+    """Papers with artifacts (a map by name of path, exists, kind, bytes) and the content of their sidecars as JSON.
+
+    ``files`` are (path, kind, bytes), ``texts`` (path, text) of sidecar files.  A bundle has a fixed
+    number of artifacts, so each side is brought to a row a bundle by one grouped aggregate.
+    """
+    from quire.sources.files import json_value
+
+    found = artifacts(expected_artifacts(papers), files)
+    one = found.groupBy("bundle_path").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("artifact", F.struct("path", "exists", "kind", "bytes").alias("state"))))).alias("artifacts"))
+    content = expected_artifacts(papers).join(texts.select(F.col("path"), json_value(F.col("text")).alias("json")), "path")
+    two = content.groupBy("bundle_path").agg(*(F.max(F.when(F.col("artifact") == artifact, F.col("json"))).alias(name) for name, artifact in SIDECARS.items()))
+    return papers.join(one, "bundle_path", "left").join(two, "bundle_path", "left")

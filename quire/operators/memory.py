@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators.library import first_by
+from quire.operators.library import first_by, memory_collection
 
 # Fixed values.
 IMPORTANCE = {"high": 3, "medium": 2, "low": 1}
@@ -85,8 +87,11 @@ def collection_plan(papers: DataFrame) -> DataFrame:
 
 
 def source_hashes(papers: DataFrame, by: str = "collection_key") -> DataFrame:
-    """by, hashes: sorted entries (paper_id, hash), which compare where maps don't."""
-    return papers.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("paper_id", "hash"))).alias("hashes"))
+    """by, paper_id, hash: what a memory was made from, the last of each paper.
+
+    A row a paper rather than a map a collection: the root has papers without bound, and rows compare by a join.
+    """
+    return papers.groupBy(by, "paper_id").agg(F.max("hash").alias("hash"))
 
 
 def stale_by_hash(current: DataFrame, stored: DataFrame, by: str = "collection_key") -> DataFrame:
@@ -142,3 +147,115 @@ def render_memory(memories: DataFrame, by: str = "collection_key") -> DataFrame:
     items = F.array_sort(F.collect_list(F.struct("paper_id", F.concat(F.lit("- "), "title").alias("line"))))
     rows = memories.groupBy(by).agg(items.alias("items"))
     return rows.select(by, F.concat(F.lit("# "), F.col(by), F.lit("\n\n"), F.array_join(F.transform("items", lambda x: x["line"]), "\n"), F.lit("\n")).alias("markdown"))
+
+
+def not_contained(rows: DataFrame, pos: list[str], ids: str, valid: DataFrame) -> DataFrame:
+    """pos of the rows of which ``ids`` names something that is not valid (key columns of ``pos`` it shares, id); nothing named is contained."""
+    on = [c for c in valid.columns if c != "id"]
+    return rows.select(*pos, F.explode(F.array_distinct(ids)).alias("id")).join(valid, [*on, "id"], "left_anti").select(*pos).distinct()
+
+
+def _verdicts(rows: DataFrame, pos: list[str], checks: list[tuple[list[str], DataFrame, Column]]) -> DataFrame:
+    """Rows with warning: that of the first check (columns of ids, valid ones, text) that fails, else null."""
+    reasons = []
+    for k, (columns, valid, text) in enumerate(checks):
+        for c in columns:
+            bad = not_contained(rows.select(*pos, c), pos, c, valid).withColumn(f"_bad{k}_{c}", F.lit(True))
+            rows = rows.join(bad, pos, "left")
+        failed = F.greatest(*(F.coalesce(f"_bad{k}_{c}", F.lit(False)) for c in columns)) if len(columns) > 1 else F.coalesce(f"_bad{k}_{columns[0]}", F.lit(False))
+        reasons.append(F.when(failed, text))
+    kept = [c for c in rows.columns if not c.startswith("_bad")]
+    return rows.select(*kept, F.coalesce(*reasons).alias("warning"))
+
+
+def pooled_ids(memories: DataFrame, ids: str, by: str = "collection_key") -> DataFrame:
+    """by, id: all that any paper of a collection names in ``ids``, each once."""
+    return memories.select(by, F.explode(ids).alias("id")).where("id <> ''").distinct()
+
+
+def checked_themes(themes: DataFrame, papers: DataFrame, blocks: DataFrame, by: str = "collection_key") -> DataFrame:
+    """Themes (by, pos, name, summary, paper_ids, source_block_ids) of a collection's answer, with warning.
+
+    Valid are the collection's papers (by, id), and the important blocks (by, id) of any of them.
+    """
+    name = F.coalesce("name", F.lit("None"))
+    return _verdicts(themes, [by, "pos"], [(["paper_ids"], papers, F.concat(F.lit("Skipped collection theme with unknown paper IDs: "), name)), (["source_block_ids"], blocks, F.concat(F.lit("Skipped collection theme with unknown block IDs: "), name))])
+
+
+def checked_relations(relations: DataFrame, papers: DataFrame, blocks: DataFrame, by: str = "collection_key") -> DataFrame:
+    """Relations (by, pos, type, source_paper_id, target_paper_id, summary, source_block_ids, target_block_ids) with warning."""
+    ends = relations.withColumn("_ends", F.array(F.coalesce("source_paper_id", F.lit("")), F.coalesce("target_paper_id", F.lit(""))))
+    return _verdicts(ends, [by, "pos"], [(["_ends"], papers, F.lit("Skipped collection relation with unknown paper IDs")), (["source_block_ids", "target_block_ids"], blocks, F.lit("Skipped collection relation with unknown block IDs"))]).drop("_ends")
+
+
+def checked_collections(answer: DataFrame, memories: DataFrame, papers: DataFrame) -> DataFrame:
+    """A library answer's collections (pos, collection_path, summary, main_themes, representative_paper_ids) with warning.
+
+    Paths are normalised; of the representatives the valid papers (id) stay, in their order.
+    """
+    rows = answer.withColumn("collection_key", memory_collection(F.col("collection_path")))
+    known = memories.select("collection_key", F.lit(True).alias("_known")).distinct()
+    ids = rows.select("pos", F.posexplode("representative_paper_ids").alias("i", "id")).join(papers.select("id").distinct(), "id", "left_semi")
+    kept = ids.groupBy("pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "id"))), lambda x: x["id"]).alias("_ids"))
+    rows = rows.join(known, "collection_key", "left").join(kept, "pos", "left")
+    text = F.concat(F.lit("Skipped unknown collection in library response: "), "collection_key")
+    themes = F.filter(F.coalesce("main_themes", F.array().cast("array<string>")), lambda x: x != "")
+    return rows.select("pos", "collection_key", F.coalesce("summary", F.lit("")).alias("summary"), themes.alias("main_themes"), F.coalesce("_ids", F.array().cast("array<string>")).alias("representative_paper_ids"), F.when(F.col("_known").isNull(), text).alias("warning"))
+
+
+def checked_global_themes(themes: DataFrame, memories: DataFrame, papers: DataFrame) -> DataFrame:
+    """Themes (pos, name, summary, collection_paths, paper_ids) of a library's answer, with warning; paths are normalised."""
+    rows = themes.withColumn("collection_paths", F.transform("collection_paths", memory_collection))
+    text = F.concat(F.lit("Skipped invalid global theme: "), F.coalesce("name", F.lit("None")))
+    return _verdicts(rows, ["pos"], [(["collection_paths"], memories.select(F.col("collection_key").alias("id")), text), (["paper_ids"], papers.select("id"), text)])
+
+
+def checked_cross_relations(relations: DataFrame, memories: DataFrame) -> DataFrame:
+    """Relations (pos, type, source_collection_path, target_collection_path, summary) between collections, with warning."""
+    rows = relations.withColumn("_ends", F.array(*(memory_collection(F.coalesce(c, F.lit(""))) for c in ("source_collection_path", "target_collection_path"))))
+    return _verdicts(rows, ["pos"], [(["_ends"], memories.select(F.col("collection_key").alias("id")), F.lit("Skipped invalid cross-collection relation"))]).drop("_ends")
+
+
+def warnings_of(*checked: DataFrame) -> DataFrame:
+    """kind-free list of all warnings of checked rows, with the row's place."""
+    return reduce(DataFrame.unionByName, [c.where("warning is not null").select("pos", "warning") for c in checked])
+
+
+def library_collections(memories: DataFrame, answer: DataFrame) -> DataFrame:
+    """Each collection's row in the library's memory: summary, themes and representatives as answered, and else its own.
+
+    ``memories`` are (collection_key, overview, themes: names, representatives, papers), of the answer's
+    valid rows the last of a collection counts; an empty value counts as none.
+    """
+    last = answer.where("warning is null").groupBy("collection_key").agg(F.max_by(F.struct("summary", "main_themes", "representative_paper_ids"), "pos").alias("_a"))
+    rows = memories.join(last, "collection_key", "left")
+    listed = lambda a, own: F.when(F.size(a) > 0, a).otherwise(F.coalesce(own, F.array().cast("array<string>")))
+    return rows.select(
+        "collection_key", F.coalesce(T.blank_to_null(F.col("_a.summary")), T.blank_to_null(F.col("overview")), F.lit("")).alias("summary"), listed(F.col("_a.main_themes"), F.slice("themes", 1, 5)).alias("main_themes"),
+        listed(F.col("_a.representative_paper_ids"), F.col("representatives")).alias("representative_paper_ids"), F.col("papers").cast("long").alias("paper_count"),
+    )
+
+
+def other_memories(stored: DataFrame, current: DataFrame) -> DataFrame:
+    """Stored collection memories (path, collection_path, ...) of none of the current collections (collection_key): the first by path of each, without regard to how its path is written."""
+    rows = stored.withColumn("collection_key", memory_collection(F.coalesce("collection_path", F.lit("")))).where("collection_key <> ''")
+    return first_by(rows.join(current.select("collection_key").distinct(), "collection_key", "left_anti"), "collection_key", F.split("path", "/"))
+
+
+def union_of_keys(*tables: DataFrame, by: str = "collection_key") -> DataFrame:
+    """The keys of any of the tables, each once."""
+    return reduce(DataFrame.union, [t.select(by) for t in tables]).distinct()
+
+
+def repaired_state(raw: DataFrame) -> DataFrame:
+    """Memory state rows out of state files (text): sections that aren't mappings are empty, a broken file has no rows but the library's.
+
+    The library always has its row, stale only where the file says so.
+    """
+    parsed = F.try_parse_json(F.col("text"))
+    entry = "struct<stale:boolean,reason:string,updated_at:timestamp>"
+    mapping = lambda k: F.coalesce(F.try_variant_get(parsed, f"$.{k}", f"map<string,{entry}>"), F.create_map().cast(f"map<string,{entry}>"))
+    library = F.try_variant_get(parsed, "$.library", entry)
+    row = lambda scope, k, v: F.struct(F.lit(scope).alias("scope"), k.alias("key"), F.coalesce(v["stale"], F.lit(False)).alias("stale"), v["reason"].alias("reason"), v["updated_at"].alias("updated_at"))
+    of = lambda scope, k: F.transform(F.map_entries(mapping(k)), lambda e: row(scope, e["key"], e["value"]))
+    return raw.select(F.explode(F.concat(of("paper", "papers"), of("collection", "collections"), F.array(row("library", F.lit("library"), library)))).alias("r")).select("r.*")

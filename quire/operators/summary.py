@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,27 +70,71 @@ def untraced(rows: DataFrame, known: DataFrame, key: str, pos: list[str], ids: s
     return named.join(known.select(key, "block_id").distinct(), [key, "block_id"], "left_anti").select(key, *pos).distinct()
 
 
+def checked_nodes(nodes: DataFrame, known: DataFrame, key: str = "paper_id") -> DataFrame:
+    """Node rows with warning: null for those with an id, a known type and known blocks only."""
+    bad = untraced(nodes, known, key, ["pos"]).withColumn("_bad", F.lit(True))
+    good = (F.coalesce("id", F.lit("")) != "") & F.col("type").isin(*NODE_TYPES) & F.col("_bad").isNull()
+    text = F.concat(F.lit("Graph node skipped: "), F.coalesce("id", F.lit("")))
+    return nodes.join(bad, [key, "pos"], "left").withColumn("warning", F.when(~F.coalesce(good, F.lit(False)), text)).drop("_bad")
+
+
 def valid_nodes(nodes: DataFrame, known: DataFrame, key: str = "paper_id") -> DataFrame:
-    typed = nodes.where(F.coalesce("id", F.lit("")) != "").where(F.col("type").isin(*NODE_TYPES))
-    return typed.join(untraced(typed, known, key, ["pos"]), [key, "pos"], "left_anti")
+    return checked_nodes(nodes, known, key).where("warning is null").drop("warning")
+
+
+def checked_edges(edges: DataFrame, nodes: DataFrame, known: DataFrame, key: str = "paper_id") -> DataFrame:
+    """Edge rows with warning: null for those of a known type and known blocks, between nodes that are valid themselves.
+
+    Rows that are equal in all of these have the same verdict, so their place isn't needed.
+    """
+    pos = ["source", "target", "type", "source_block_ids"]
+    ends = nodes.select(key, F.col("id")).distinct()
+    rows = edges
+    for end in ("source", "target"):
+        rows = rows.join(ends.select(key, F.col("id").alias(end), F.lit(True).alias(f"_{end}")), [key, end], "left")
+    bad = untraced(edges, known, key, pos).withColumn("_bad", F.lit(True))
+    rows = rows.join(bad, [key, *pos], "left")
+    good = F.col("_source").isNotNull() & F.col("_target").isNotNull() & F.coalesce(F.col("type").isin(*EDGE_TYPES), F.lit(False)) & F.col("_bad").isNull()
+    text = F.concat(F.lit("Graph edge skipped: "), F.coalesce("source", F.lit("")), F.lit("->"), F.coalesce("target", F.lit("")))
+    return rows.withColumn("warning", F.when(~good, text)).select(*edges.columns, "warning")
 
 
 def valid_edges(edges: DataFrame, nodes: DataFrame, known: DataFrame, key: str = "paper_id") -> DataFrame:
     """Edges of known types and blocks, between nodes that are valid themselves."""
-    ends = nodes.select(key, F.col("id")).distinct()
-    typed = edges.where(F.col("type").isin(*EDGE_TYPES))
-    one = typed.join(ends.withColumnRenamed("id", "source"), [key, "source"], "left_semi")
-    two = one.join(ends.withColumnRenamed("id", "target"), [key, "target"], "left_semi")
-    pos = ["source", "target", "type", "source_block_ids"]
-    return two.join(untraced(two, known, key, pos), [key, *pos], "left_anti")
+    return checked_edges(edges, nodes, known, key).where("warning is null").drop("warning")
+
+
+def unknown_sections(inputs: DataFrame, response: DataFrame, key: str = "paper_id") -> DataFrame:
+    """key, warning: of each answered section that was not asked for."""
+    rows = response.join(inputs.select(key, "section_id"), [key, "section_id"], "left_anti")
+    return rows.select(key, F.concat(F.lit("Unknown section skipped: "), F.coalesce("section_id", F.lit(""))).alias("warning"))
 
 
-def traceability(papers: DataFrame, blocks: DataFrame, sections: DataFrame, nodes: DataFrame, key: str = "paper_id") -> DataFrame:
-    """Each paper's verdict: missing-summary, missing-traceability, or ok."""
-    bad = untraced(sections, blocks, key, ["section_id"], "block_ids").select(key).unionByName(untraced(nodes, blocks, key, ["pos"]).select(key)).distinct().withColumn("_bad", F.lit(True))
+def known_block_ids(summary: DataFrame, source: DataFrame, key: str = "paper_id") -> DataFrame:
+    """key, block_id: of the summary's and the source map's blocks, each once, without blank ones."""
+    return summary.select(key, "block_id").union(source.select(key, "block_id")).where("block_id <> ''").distinct()
+
+
+def traceability(papers: DataFrame, blocks: DataFrame, sections: DataFrame, nodes: DataFrame, edges: DataFrame | None = None, key: str = "paper_id") -> DataFrame:
+    """Each paper's verdict: missing-summary, invalid-summary, invalid-source-map, missing-traceability, or ok.
+
+    ``papers`` have has_summary and, where files can be broken, summary_ok and source_map_ok.
+    """
+    lost = [untraced(sections, blocks, key, ["section_id"], "block_ids"), untraced(nodes, blocks, key, ["pos"])]
+    if edges is not None:
+        lost.append(untraced(edges, blocks, key, ["pos"]))
+    bad = reduce(DataFrame.unionByName, [x.select(key) for x in lost]).distinct().withColumn("_bad", F.lit(True))
     some = blocks.select(key).distinct().withColumn("_some", F.lit(True))
     rows = papers.join(some, key, "left").join(bad, key, "left")
-    return rows.select(key, F.when(~F.col("has_summary"), "missing-summary").when(F.col("_some").isNull() | F.col("_bad").isNotNull(), "missing-traceability").otherwise("ok").alias("verdict"))
+    broken = lambda c: ~F.coalesce(F.col(c), F.lit(True)) if c in papers.columns else F.lit(False)
+    verdict = (
+        F.when(~F.col("has_summary"), "missing-summary")
+        .when(broken("summary_ok"), "invalid-summary")
+        .when(broken("source_map_ok"), "invalid-source-map")
+        .when(F.col("_some").isNull() | F.col("_bad").isNotNull(), "missing-traceability")
+        .otherwise("ok")
+    )
+    return rows.select(key, verdict.alias("verdict"))
 
 
 def run_report(rows: DataFrame) -> DataFrame:

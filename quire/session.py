@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "quire", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -22,3 +22,17 @@ def session(app: str = "quire", master: str | None = None, shuffle_partitions: i
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A table that is computed once, as what makes it costs much or may differ when run again.
+
+    It is checkpointed where there is a folder for that, which all executors share; only on a local
+    master without one it is cached instead.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir():
+        return df.checkpoint()
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return df.persist()

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import pathlib
+import subprocess
+import tempfile
 import time
 from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 class Provider(Protocol):
@@ -23,6 +26,63 @@ class Converter(Protocol):
         """The Markdown of a document."""
 
 
+class BatchConverter(Protocol):
+    name: str
+
+    def convert_batch(self, items: list[tuple[str, bytes]]) -> list[tuple[str, bool, str | None, str | None]]:
+        """(key, ok, markdown, error) of (key, content) of one batch, in any order."""
+
+
+class SourceAdapter(Protocol):
+    """Finds documents of one kind of source; all give rows of the same columns, so what follows doesn't depend on it."""
+
+    def discover(self, spark: SparkSession, path: str) -> DataFrame:
+        """path, id, bytes, content of each document."""
+
+
+class LocalFolder:
+    """All PDF files of a folder, whatever its store."""
+
+    def discover(self, spark: SparkSession, path: str) -> DataFrame:
+        from pyspark.sql import functions as F
+
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][dD][fF]").load(path)
+        return files.select("path", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("id"), F.col("length").alias("bytes"), "content")
+
+
+class FixtureConverter:
+    """Gives every document the same Markdown, for tests and dry runs."""
+
+    name = "local-fixture"
+
+    def __init__(self, markdown: str):
+        self.markdown = markdown
+
+    def convert(self, content: bytes) -> str:
+        return self.markdown
+
+
+class LocalCommand:
+    """A converter that is a program: it is given a file and a folder, and leaves an archive's content or Markdown there."""
+
+    name = "local-command"
+
+    def __init__(self, command: list[str], seconds: float = 1800):
+        self.command, self.seconds = command, seconds
+
+    def convert(self, content: bytes) -> str:
+        with tempfile.TemporaryDirectory() as folder:  # of one call on one executor; nothing of it is read elsewhere
+            given = pathlib.Path(folder, "original.pdf")
+            given.write_bytes(content or b"")
+            done = subprocess.run([*self.command, str(given), folder], capture_output=True, text=True, timeout=self.seconds, check=False)
+            if done.returncode:
+                raise RuntimeError(done.stderr.strip() or f"exit code {done.returncode}")
+            found = sorted(pathlib.Path(folder).glob("**/*.md"))
+            if not found:
+                raise ValueError("no Markdown in what the converter left")
+            return found[0].read_text(encoding="utf-8", errors="replace")
+
+
 class EchoProvider:
     """Answers from the request alone: the same answer on each run, without a network."""
 
@@ -32,8 +92,24 @@ class EchoProvider:
             return json.dumps({"blocks": [{"block_id": b["block_id"], "summary_text": b["text"][:80], "role": "other", "importance": "medium", "concepts": []} for b in asked["blocks"]]})
         if schema_name == "sections":
             return json.dumps({"sections": [{"section_id": s["section_id"], "summary": " ".join(s["texts"])[:200], "role": "other"} for s in asked["sections"]]})
+        if schema_name == "graph":
+            nodes = [{"id": f"n{i}", "type": "concept", "label": b["summary_text"][:40], "source_block_ids": [b["block_id"]]} for i, b in enumerate(asked["blocks"])]
+            edges = [{"source": f"n{i}", "target": f"n{i + 1}", "type": "supports", "source_block_ids": []} for i in range(len(nodes) - 1)]
+            return json.dumps({"nodes": nodes, "edges": edges})
         return json.dumps({})
 
+    def health(self) -> dict[str, str]:
+        return {"provider": "echo", "check": "none needed"}
+
+
+def provider_health(spark: SparkSession, provider: Provider) -> DataFrame:
+    """One row: whether a provider answers when asked how it is, and what it says or the error."""
+    try:
+        said, error = json.dumps(provider.health()), None
+    except Exception as e:  # noqa: BLE001  the provider's errors are its own
+        said, error = None, str(e)
+    return spark.createDataFrame([(error is None, said, error)], "ok boolean, said string, error string")
+
 
 def answered(requests: DataFrame, provider: Provider, schema_name: str, key: str = "request_id", at_once: int | None = None, retries: int = 2, wait: float = 10.0, seconds: float | None = None) -> DataFrame:
     """key, answer, error of requests (key, messages).
@@ -84,3 +160,22 @@ def converted(files: DataFrame, converter: Converter, key: str = "bundle_path",
 
     kind = files.schema[key].dataType.simpleString()
     return files.select(key, content).mapInPandas(run, f"`{key}` {kind}, ok boolean, markdown string, error string")
+
+
+def converted_in_batches(files: DataFrame, converter: BatchConverter, size: int, key: str = "bundle_path", content: str = "content") -> DataFrame:
+    """key, ok, markdown, error of documents, handed over ``size`` at a time within each task; a batch that fails fails its documents."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), size):
+                part = pdf.iloc[i : i + size]
+                try:
+                    rows = converter.convert_batch(list(zip(part[key], part[content], strict=True)))
+                except Exception as e:  # noqa: BLE001
+                    rows = [(k, False, None, str(e)) for k in part[key]]
+                told = {r[0] for r in rows}
+                rows = [*rows, *((k, False, None, "no result") for k in part[key] if k not in told)]
+                yield pd.DataFrame(rows, columns=[key, "ok", "markdown", "error"])
+
+    kind = files.schema[key].dataType.simpleString()
+    return files.select(key, content).mapInPandas(run, f"`{key}` {kind}, ok boolean, markdown string, error string")

@@ -20,6 +20,7 @@ from quire.operators import summary as S
 from quire.plans import views as V
 from quire.plans.sql import strip, with_views
 from quire.sources import sinks as K
+from quire.sources.files import json_value
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -301,11 +302,11 @@ def page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT paper_id, bool_and(ok) AS ok, count(*) AS parts, arg_min(error, part) FILTER (NOT ok) AS error, CASE WHEN bool_and(ok) THEN string_agg('<!-- part '||part||' -->'||chr(10)||chr(10)||replace(markdown, '](images/', '](images/part_'||printf('%03d', part)||'/'), chr(10)||chr(10) ORDER BY part) END AS markdown FROM parts GROUP BY paper_id""",
+    """SELECT paper_id, bool_and(ok) AS ok, count(*) AS parts, arg_min(error, part) FILTER (NOT ok) AS error, CASE WHEN bool_and(ok) THEN string_agg('<!-- part '||part||' pages '||(10 * part - 9)||'-'||(10 * part)||' -->'||chr(10)||replace(markdown, '](images/', '](images/part-'||printf('%03d', part)||'/')||chr(10), chr(10) ORDER BY part) END AS markdown FROM parts GROUP BY paper_id""",
     "parts",
 )
 def split_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.merge_parts(V.parts(spark, sf_dir))
+    return I.merge_parts(V.parts(spark, sf_dir).withColumns({"page_start": 10 * F.col("part") - 9, "page_end": 10 * F.col("part")}))
 
 
 def _fields(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
@@ -333,7 +334,7 @@ def confidence_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.merge_by_confidence(_fields(spark, sf_dir, 0), _fields(spark, sf_dir, 1))
 
 
-_TITLE = "CASE doc_id % 5 WHEN 0 THEN upper(substring(text, 1, 60)) WHEN 1 THEN substring(text, 1, 20)||'/' WHEN 2 THEN 'pH of '||substring(text, 1, 9) WHEN 3 THEN ' New Journal  of Physics ' ELSE substring(text, 1, 30) END"
+_TITLE = "CASE doc_id % 5 WHEN 0 THEN upper(text) WHEN 1 THEN text||'/' WHEN 2 THEN 'pH of '||text WHEN 3 THEN ' New Journal  of Physics ' ELSE text END"
 
 
 @query(
@@ -342,7 +343,7 @@ _TITLE = "CASE doc_id % 5 WHEN 0 THEN upper(substring(text, 1, 60)) WHEN 1 THEN
 def title_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = V.table(spark, sf_dir, "documents")
     m, t = F.col("doc_id") % 5, F.col("text")
-    title = F.when(m == 0, F.upper(F.substring(t, 1, 60))).when(m == 1, F.concat(F.substring(t, 1, 20), F.lit("/"))).when(m == 2, F.concat(F.lit("pH of "), F.substring(t, 1, 9))).when(m == 3, F.lit(" New Journal  of Physics ")).otherwise(F.substring(t, 1, 30))
+    title = F.when(m == 0, F.upper(t)).when(m == 1, F.concat(t, F.lit("/"))).when(m == 2, F.concat(F.lit("pH of "), t)).when(m == 3, F.lit(" New Journal  of Physics ")).otherwise(t)
     return docs.select("doc_id", M.bad_converted_title(F.lit("x"), title).alias("bad"), M.is_journal_label(title).alias("journal"))
 
 
@@ -385,41 +386,59 @@ def name_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT doc_id, coalesce(nullif(CASE WHEN length(s) > 60 THEN rtrim(substring(s, 1, 60), ' .-_') ELSE s END, ''), 'untitled') AS name FROM (SELECT doc_id, trim(trim(regexp_replace(regexp_replace(regexp_replace(raw, '[\p{Cc}\p{Cf}\p{Co}]', '', 'g'), '[/:*?"<>|\\]+', '-', 'g'), '\s+', ' ', 'g')), ' .-_') AS s FROM (SELECT doc_id, substring(text, 1, 40)||' a/b:*c'||chr(9)||'? '||substring(text, 41, 40) AS raw FROM documents))"""
+    r"""SELECT doc_id, coalesce(nullif(CASE WHEN length(s) > 180 THEN rtrim(substring(s, 1, 180), ' .-_') ELSE s END, ''), 'untitled') AS name FROM (SELECT doc_id, trim(trim(regexp_replace(regexp_replace(regexp_replace(raw, '[\p{Cc}\p{Cf}\p{Co}]', '', 'g'), '[/:*?"<>|\\]+', '-', 'g'), '\s+', ' ', 'g')), ' .-_') AS s FROM (SELECT doc_id, ' a/b:*c'||chr(9)||'? '||text AS raw FROM documents))"""
 )
 def name_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.substring("text", 1, 40), F.lit(" a/b:*c\t? "), F.substring("text", 41, 40))
-    return V.table(spark, sf_dir, "documents").select("doc_id", T.file_name(raw, 60).alias("name"))
+    raw = F.concat(F.lit(" a/b:*c\t? "), "text")
+    return V.table(spark, sf_dir, "documents").select("doc_id", T.file_name(raw).alias("name"))
 
 
-@query(r"SELECT doc_id, coalesce(nullif(CASE WHEN length(s) > 60 THEN rtrim(substring(s, 1, 60), ' .-_') ELSE s END, ''), 'untitled') AS slug FROM (SELECT doc_id, lower(trim(regexp_replace(replace(replace(strip_accents(substring(text, 1, 90)), 'ß', ''), chr(10), ''), '[^A-Za-z0-9]+', '-', 'g'), '-')) AS s FROM documents)")
+@query(r"SELECT doc_id, coalesce(nullif(CASE WHEN length(s) > 180 THEN rtrim(substring(s, 1, 180), ' .-_') ELSE s END, ''), 'untitled') AS slug FROM (SELECT doc_id, lower(trim(regexp_replace(replace(replace(strip_accents(text), 'ß', ''), chr(10), ''), '[^A-Za-z0-9]+', '-', 'g'), '-')) AS s FROM documents)")
 def ascii_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.table(spark, sf_dir, "documents").select("doc_id", T.ascii_slug(F.substring("text", 1, 90), 60).alias("slug"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", T.ascii_slug(F.col("text")).alias("slug"))
 
 
-@query()
+_NAMED = "SELECT coalesce(collection, 'inbox') AS root, substring(name, 1, 9)||CASE WHEN doc_id % 8 = 0 THEN '-2' ELSE '' END AS name, bundle_path AS path FROM papers"
+
+
+@query(
+    f""", items AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY path) AS k FROM ({_NAMED})),
+walk AS (SELECT root, name, path, k, name AS unique_name, [name] AS used FROM items WHERE k = 1
+  UNION ALL SELECT root, name, path, k, free, list_append(used, free) FROM (SELECT i.root, i.name, i.path, i.k, w.used, CASE WHEN list_contains(w.used, i.name) THEN i.name||'-'||list_filter(range(2, len(w.used) + 3), lambda n: NOT list_contains(w.used, i.name||'-'||n))[1] ELSE i.name END AS free FROM walk w JOIN items i ON i.root = w.root AND i.k = w.k + 1))
+SELECT root, name, path, unique_name FROM walk""",
+    "papers",
+)
 def name_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = V.papers(spark, sf_dir).select(F.coalesce("collection", F.lit("inbox")).alias("root"), F.concat(F.substring("name", 1, 9), F.when(F.col("doc_id") % 8 == 0, "-2").otherwise("")).alias("name"), F.col("bundle_path").alias("path"))
     return I.unique_names(items)
 
 
-@query()
+ORACLES["name_dedupe"] = ORACLES["name_dedupe"].replace("\n, items AS", ",\nitems AS").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_TITLE_PAGE = {0: ("Ann Lee, Bo Li,\nCy Do", "Ann Lee, Bo Li, Cy Do"), 1: ("University of X, Y", None), 2: ("A1, B2, C3", None), 3: ("Department of Z\n\nAnn Lee and Bo Li", "Ann Lee and Bo Li"), 4: ("Di Fu\nEd Go", None)}
+
+
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Ann Lee, Bo Li, Cy Do' WHEN 3 THEN 'Ann Lee and Bo Li' END AS authors_line FROM documents")
 def title_page_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = V.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# "), F.split("text", "\n")[0], F.lit("\n\nAnn Lee, Bo Li\nand Cy Do\n\nUniversity of X\n\n"), F.col("text")).alias("markdown"))
+    """Under the titles stand lines of several forms; the text follows as one line that no author has."""
+    m = F.col("doc_id") % 5
+    page = F.coalesce(*(F.when(m == k, given) for k, (given, _) in _TITLE_PAGE.items()))
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# "), F.split("text", "\n")[0], F.lit("\n\n"), page, F.lit("\n\nreceived "), F.translate("text", "\n", " ")).alias("markdown"))
     return I.with_title_page_authors(docs).select("doc_id", "authors_line")
 
 
-_ID = "'a 10.1234/ab.'||doc_id||' PMID: '||doc_id||' 2101.'||(10000 + doc_id % 7)||'v2 '||substring(text, 1, 40)"
+_ID = "text||' a 10.1234/ab.'||doc_id||' PMID: '||doc_id||' 2101.'||(10000 + doc_id % 7)||'v2 isbn 978-3-161-48410-'||(doc_id % 10)"
 
 
 @query(
-    rf"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '10\.\d{{4,9}}/[-._;()/:A-Za-z0-9]+'))), '|') AS doi, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '(?i)\b\d{{4}}\.\d{{4,5}}(?:v\d+)?\b'))), '|') AS arxiv, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '(?i)\bPMID[:\s]+(\d+)\b', 1))), '|') AS pmid FROM (SELECT doc_id, {_ID} AS t FROM documents)"""
+    rf"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '10\.\d{{4,9}}/[-._;()/:A-Za-z0-9]+'))), '|') AS doi, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '(?i)\b\d{{4}}\.\d{{4,5}}(?:v\d+)?\b'))), '|') AS arxiv, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '(?i)\bPMID[:\s]+(\d+)\b', 1))), '|') AS pmid, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\b(?:97[89][-\s]?)?\d[-\s]?\d{{3}}[-\s]?\d{{5}}[-\s]?\d\b'))), '|') AS isbn FROM (SELECT doc_id, {_ID} AS t FROM documents)"""
 )
 def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
-    t = F.concat(F.lit("a 10.1234/ab."), d, F.lit(" PMID: "), d, F.lit(" 2101."), 10000 + d % 7, F.lit("v2 "), F.substring("text", 1, 40))
+    t = F.concat("text", F.lit(" a 10.1234/ab."), d, F.lit(" PMID: "), d, F.lit(" 2101."), 10000 + d % 7, F.lit("v2 isbn 978-3-161-48410-"), d % 10)
     rows = V.table(spark, sf_dir, "documents").select("doc_id", M.identifiers(t).alias("i"))
-    return rows.select("doc_id", *(F.array_join(f"i.{k}", "|").alias(k) for k in ("doi", "arxiv", "pmid")))
+    return rows.select("doc_id", *(F.array_join(f"i.{k}", "|").alias(k) for k in ("doi", "arxiv", "pmid", "isbn")))
 
 
 @query("SELECT paper_id, CASE WHEN contains(markdown, 'doi 10.1234') THEN '10.1234/abc.5' END AS doi, CASE WHEN contains(markdown, 'arXiv: 2101.12345v2') THEN '2101.12345v2' END AS arxiv FROM md", "md")
@@ -461,8 +480,8 @@ def resume_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Summaries.
 
 
-def _sections(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    b = V.summary_blocks(spark, sf_dir, whole)
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = V.summary_blocks(spark, sf_dir)
     items = F.array_sort(F.collect_list(F.struct("order", "summary_text", "block_id")))
     rows = b.groupBy("paper_id", "section_id").agg(F.min("order").alias("pos"), F.min_by("role", "order").alias("role"), items.alias("i"))
     return rows.select("paper_id", "section_id", "pos", "role", F.array_join(F.slice(F.transform("i", lambda x: x["summary_text"]), 1, 3), " ").alias("summary"), F.transform("i", lambda x: x["block_id"]).alias("block_ids"))
@@ -545,12 +564,12 @@ def paper_memory_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.important_blocks(V.summary_blocks(spark, sf_dir))
 
 
-_DISTINCT = "(SELECT paper_id, arg_min(v, p) AS v, min(p) AS p FROM (SELECT paper_id, regexp_replace(v, '^\\s+|\\s+$', '', 'g') AS v, ord * 1000 + i AS p FROM (SELECT paper_id, ord, unnest(range(0, len(concepts))) AS i, unnest(concepts) AS v FROM sblocks)) WHERE v <> '' GROUP BY paper_id, lower(v))"
+_DISTINCT = "(SELECT paper_id, arg_min(v, p) AS v, min(p) AS p FROM (SELECT paper_id, regexp_replace(v, '^\\s+|\\s+$', '', 'g') AS v, ord * 1000000 + i AS p FROM (SELECT paper_id, ord, unnest(range(0, len(concepts))) AS i, unnest(concepts) AS v FROM sblocks)) WHERE v <> '' GROUP BY paper_id, lower(v))"
 
 
 @query(f"SELECT paper_id, array_to_string(list(v ORDER BY p)[1:12], '|') AS concepts FROM {_DISTINCT} GROUP BY paper_id", "sblocks")
 def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.summary_blocks(spark, sf_dir).select("paper_id", "order", F.posexplode("concepts").alias("i", "value")).select("paper_id", "value", (F.col("order") * 1000 + F.col("i")).alias("pos"))
+    rows = V.summary_blocks(spark, sf_dir).select("paper_id", "order", F.posexplode("concepts").alias("i", "value")).select("paper_id", "value", (F.col("order") * 1000000 + F.col("i")).alias("pos"))
     return Y.ordered_distinct(rows, "paper_id", most=12).select("paper_id", F.array_join("values", "|").alias("concepts"))
 
 
@@ -569,9 +588,31 @@ def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.overview(_sections(spark, sf_dir), V.summary_blocks(spark, sf_dir))
 
 
-@query()
+def _listed(rows: str, most: int) -> str:
+    """Values (paper_id, v, p), distinct without case in their order, as one text."""
+    clean = strip("v")
+    return f"(SELECT paper_id, array_to_string(list(v ORDER BY p)[1:{most}], '|') AS l FROM (SELECT paper_id, arg_min(v, p) AS v, min(p) AS p FROM (SELECT paper_id, {clean} AS v, p FROM ({rows})) WHERE v <> '' GROUP BY paper_id, lower(v)) GROUP BY paper_id)"
+
+
+_BLOCKS_OF = lambda role: f"SELECT paper_id, summary_text AS v, ord AS p FROM sblocks WHERE role = '{role}'"
+_NODES_OF = lambda kind: f"SELECT paper_id, label AS v, 1000000000000 + pos AS p FROM nodes WHERE type = '{kind}'"
+_ROLE = lambda role: f"(SELECT paper_id, coalesce(s, b) AS t FROM (SELECT paper_id, arg_min(summary, pos) AS s FROM ssections WHERE role = '{role}' AND summary <> '' GROUP BY paper_id) FULL JOIN (SELECT paper_id, arg_min(summary_text, ord) AS b FROM sblocks WHERE role = '{role}' AND summary_text <> '' GROUP BY paper_id) USING (paper_id))"
+_OVERVIEW = f"SELECT paper_id, array_to_string(CASE WHEN lower(v[1]) = lower(v[2]) OR v[2] = '' THEN [v[1]] WHEN v[1] = '' THEN [v[2]] ELSE v END, ' ') AS overview FROM (SELECT paper_id, list({strip('summary')} ORDER BY pos)[1:2] AS v FROM ssections GROUP BY paper_id)"
+
+
+@query(
+    f"""SELECT o.paper_id, overview, coalesce(rp.t, '') AS research_problem, coalesce(m.t, '') AS method, coalesce(mat.label, '') AS system_or_material, coalesce(top.l, '') AS important_block_ids, coalesce(r.l, '') AS key_results, coalesce(li.l, '') AS limitations, coalesce(c.l, '') AS concepts, coalesce(me.l, '') AS methods, coalesce(ms.l, '') AS measurements
+FROM ({_OVERVIEW}) o LEFT JOIN {_ROLE('background')} rp USING (paper_id) LEFT JOIN {_ROLE('method')} m USING (paper_id)
+LEFT JOIN (SELECT paper_id, arg_min(label, pos) AS label FROM nodes WHERE type IN ('dataset_or_sample', 'instrument') AND label <> '' GROUP BY paper_id) mat USING (paper_id)
+LEFT JOIN (SELECT paper_id, string_agg(block_id, '|' ORDER BY rank) AS l FROM (SELECT paper_id, block_id, row_number() OVER (PARTITION BY paper_id ORDER BY CASE importance WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC, ord) AS rank FROM sblocks) WHERE rank <= 5 GROUP BY paper_id) top USING (paper_id)
+LEFT JOIN {_listed(_BLOCKS_OF('result'), 5)} r USING (paper_id) LEFT JOIN {_listed(_BLOCKS_OF('limitation') + ' UNION ALL ' + _NODES_OF('limitation'), 5)} li USING (paper_id)
+LEFT JOIN {_listed('SELECT paper_id, unnest(concepts) AS v, ord * 1000000 + unnest(range(0, len(concepts))) AS p FROM sblocks UNION ALL ' + _NODES_OF('concept'), 12)} c USING (paper_id)
+LEFT JOIN {_listed(_NODES_OF('method'), 12)} me USING (paper_id) LEFT JOIN {_listed(_NODES_OF('measurement'), 12)} ms USING (paper_id)""",
+    "sblocks", "ssections", "nodes",
+)
 def paper_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Y.paper_memory(_sections(spark, sf_dir, whole=True), V.summary_blocks(spark, sf_dir, whole=True), V.graph_nodes(spark, sf_dir))
+    rows = Y.paper_memory(_sections(spark, sf_dir), V.summary_blocks(spark, sf_dir), V.graph_nodes(spark, sf_dir))
+    return rows.select(*(joined(c) if kind.startswith("array") else F.col(c) for c, kind in rows.dtypes))
 
 
 @query(f"SELECT {_KEY} AS collection_key, count(*) AS papers, count(*) FILTER (metadata_status = 'complete') AS valid, count(*) FILTER (coalesce(metadata_status, '') <> 'complete') AS skipped FROM papers GROUP BY 1", "papers")
@@ -584,9 +625,9 @@ def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.papers(spark, sf_dir).select(L.collection_key(F.col("collection"), F.col("bundle_path")).alias("collection_key"), F.col("doc_id").alias("paper_id"), F.col("id").alias("hash"))
 
 
-@query(f"SELECT {_KEY} AS collection_key, string_agg(doc_id||'='||id, '|' ORDER BY doc_id) AS hashes FROM papers GROUP BY 1", "papers")
+@query(f"SELECT {_KEY} AS collection_key, doc_id AS paper_id, id AS hash FROM papers", "papers")
 def source_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Y.source_hashes(_hashes(spark, sf_dir)).select("collection_key", F.array_join(F.transform("hashes", lambda x: F.concat_ws("=", x["paper_id"].cast("string"), x["hash"])), "|").alias("hashes"))
+    return Y.source_hashes(_hashes(spark, sf_dir))
 
 
 @query(f"SELECT collection_key, n > 0 AND changed AS stale FROM (SELECT {_KEY} AS collection_key, count(*) FILTER ({_KEY} <> 'src5') AS n, bool_or({_KEY} LIKE '%2' AND doc_id % 3 = 0 OR {_KEY} LIKE '%3' AND doc_id % 40 = 3) AS changed FROM papers GROUP BY 1)", "papers")
@@ -694,14 +735,14 @@ def metadata_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.upserted(current, P.metadata_verdicts(_changes(spark, sf_dir), current)).select("paper_id", "field", "value", "source")
 
 
-_PATCHES = "SELECT paper_id, ord AS pos, type, text, CASE WHEN ord % 11 = 5 THEN 'b99999' ELSE block_id END AS block_id, CASE WHEN ord % 7 = 3 THEN text||'x' ELSE text END AS old_text, CASE WHEN ord % 5 = 0 THEN '' ELSE upper(text) END AS new_text, (['low', 'medium', 'high'])[1 + ord % 3] AS confidence, CASE WHEN ord % 2 = 0 THEN 'Page Header' ELSE 'ocr' END AS reason FROM blocks"
+_PATCHES = "SELECT paper_id, ord AS pos, type, text, CASE WHEN ord % 11 = 5 THEN 'b99999' ELSE block_id END AS block_id, CASE WHEN ord % 7 = 3 THEN text||'x' ELSE text END AS old_text, CASE WHEN ord % 5 = 0 THEN '' ELSE translate(text, 'aeiou', 'AEIOU') END AS new_text, (['low', 'medium', 'high'])[1 + ord % 3] AS confidence, CASE WHEN ord % 2 = 0 THEN 'Page Header' ELSE 'ocr' END AS reason FROM blocks"
 
 
-@query(
-    rf"""SELECT paper_id, pos, CASE WHEN block_id = 'b99999' THEN 'unknown_block_id' WHEN confidence = 'low' THEN 'low_confidence' WHEN old_text <> text THEN 'old_text_mismatch' WHEN new_text = '' AND reason = 'ocr' AND NOT regexp_matches({strip('old_text')}, '^(?i:\d+|page\s+\d+)$') THEN 'empty_patch'
-  WHEN type IN ('formula', 'table', 'reference') AND new_text <> old_text THEN 'protected_block' ELSE 'accepted' END AS verdict FROM ({_PATCHES})""",
-    "blocks",
-)
+_GATE = rf"""SELECT paper_id, pos, block_id, new_text, CASE WHEN block_id = 'b99999' THEN 'unknown_block_id' WHEN confidence = 'low' THEN 'low_confidence' WHEN old_text <> text THEN 'old_text_mismatch' WHEN new_text = '' AND reason = 'ocr' AND NOT regexp_matches({strip('old_text')}, '^(?i:\d+|page\s+\d+)$') THEN 'empty_patch'
+  WHEN type IN ('formula', 'table', 'reference') AND new_text <> old_text THEN 'protected_block' ELSE 'accepted' END AS verdict FROM ({_PATCHES})"""
+
+
+@query(f"SELECT paper_id, pos, verdict FROM ({_GATE})", "blocks")
 def patch_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = B.split_blocks(V.markdown(spark, sf_dir))
     return P.patch_verdicts(_patches(blocks), blocks).select("paper_id", "pos", "verdict")
@@ -710,22 +751,32 @@ def patch_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _patches(blocks: DataFrame) -> DataFrame:
     o = F.col("order")
     return blocks.select(
-        "paper_id", o.alias("pos"), F.when(o % 11 == 5, "b99999").otherwise(F.col("block_id")).alias("block_id"), F.when(o % 7 == 3, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("old_text"), F.when(o % 5 == 0, "").otherwise(F.upper("text")).alias("new_text"),
+        "paper_id", o.alias("pos"), F.when(o % 11 == 5, "b99999").otherwise(F.col("block_id")).alias("block_id"), F.when(o % 7 == 3, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("old_text"), F.when(o % 5 == 0, "").otherwise(F.translate("text", "aeiou", "AEIOU")).alias("new_text"),
         F.get(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), (o % 3).cast("int")).alias("confidence"), F.when(o % 2 == 0, "Page Header").otherwise("ocr").alias("reason"),
     )
 
 
-@query()
+@query(
+    rf"""SELECT paper_id, string_agg(text, chr(10)||chr(10) ORDER BY ord)||chr(10) AS markdown FROM (SELECT b.paper_id, b.ord, CASE WHEN p.block_id IS NULL THEN b.text ELSE p.new_text END AS text FROM blocks b
+  LEFT JOIN (SELECT * FROM ({_GATE}) WHERE verdict = 'accepted') p ON p.paper_id = b.paper_id AND p.block_id = b.block_id) WHERE regexp_matches(text, '\S') GROUP BY paper_id""",
+    "blocks",
+)
 def patched_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = B.split_blocks(V.markdown(spark, sf_dir))
     return B.render(P.patched(blocks, P.patch_verdicts(_patches(blocks), blocks)))
 
 
-@query("SELECT doc_id, json_valid(CASE WHEN doc_id % 4 = 0 THEN '{bad' WHEN doc_id % 4 = 1 THEN '[1]' WHEN doc_id % 4 = 2 THEN '{\"a\": 1}' END) AS valid FROM documents")
+_JSON = """CASE doc_id % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'value' WHEN 2 THEN 'text' END"""
+
+
+@query(f"SELECT doc_id, {_JSON} AS kind, CASE WHEN doc_id % 4 = 2 THEN text END AS text FROM documents")
 def json_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as JSON objects, lists and broken objects, or none; what the tolerant reader makes of them."""
     m = F.col("doc_id") % 4
-    raw = F.when(m == 0, "{bad").when(m == 1, "[1]").when(m == 2, '{"a": 1}')
-    return V.table(spark, sf_dir, "documents").select("doc_id", F.when(raw.isNotNull(), F.try_parse_json(raw).isNotNull()).alias("valid"))
+    whole = F.to_json(F.struct("text"))
+    raw = F.when(m == 0, F.rtrim(whole, F.lit("}"))).when(m == 1, F.concat(F.lit("["), whole, F.lit("]"))).when(m == 2, whole)
+    rows = V.table(spark, sf_dir, "documents").select("doc_id", json_value(raw).alias("v"))
+    return rows.select("doc_id", F.json_object_keys("v")[0].alias("kind"), F.get_json_object("v", "$.text").alias("text"))
 
 
 
@@ -762,53 +813,3 @@ def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = V.table(spark, sf_dir, "events").select(F.concat(F.lit("run:"), "user_id").alias("run_id"), F.col("ts").alias("at"), F.when(F.col("event_type") == "purchase", "run-finished").otherwise("paper-started").alias("event"))
     return K.run_report(runs)
-
-
-# The operators that the queries above give the first characters of a text, as their SQL does, over whole texts and lines.
-
-
-@query()
-def identifiers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.table(spark, sf_dir, "documents").select("doc_id", M.identifiers(F.col("text")).alias("i"))
-    return rows.select("doc_id", *(F.array_join(f"i.{k}", "|").alias(k) for k in ("doi", "arxiv", "pmid", "isbn")))
-
-
-@query()
-def names_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File name, slug and title guards of every text."""
-    t = F.col("text")
-    return V.table(spark, sf_dir, "documents").select("doc_id", T.file_name(t).alias("name"), T.ascii_slug(t).alias("slug"), M.bad_converted_title(F.lit("x"), t).alias("bad"), M.is_journal_label(t).alias("journal"))
-
-
-@query()
-def response_blocks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = V.summary_blocks(spark, sf_dir, whole=True)
-    return S.normalised_blocks(_response(b), b)
-
-
-@query()
-def section_fallback_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inputs = S.sections(V.summary_blocks(spark, sf_dir, whole=True).withColumn("section_path", F.array().cast("array<string>")))
-    response = inputs.where("pos % 2 = 0").select("paper_id", "section_id", F.when(F.col("pos") % 4 != 0, "answer").alias("summary"), F.when(F.col("pos") % 3 != 0, "method").alias("role"))
-    return S.filled_sections(inputs, response).select("paper_id", "section_id", "summary", "role", "answered")
-
-
-@query()
-def ordered_distinct_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.summary_blocks(spark, sf_dir, whole=True).select("paper_id", "order", F.posexplode("concepts").alias("i", "value")).select("paper_id", "value", F.struct("order", "i").alias("pos"))
-    return Y.ordered_distinct(rows, "paper_id").select("paper_id", F.array_join("values", "|").alias("concepts"))
-
-
-@query()
-def role_first_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Y.first_by_role(_sections(spark, sf_dir, whole=True), V.summary_blocks(spark, sf_dir, whole=True), "method")
-
-
-@query()
-def overview_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Y.overview(_sections(spark, sf_dir, whole=True), V.summary_blocks(spark, sf_dir, whole=True))
-
-
-@query()
-def summary_markdown_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.summary_markdown(_sections(spark, sf_dir, whole=True).withColumn("heading", F.col("section_id")))

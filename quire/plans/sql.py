@@ -79,7 +79,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "parts": ((), "SELECT l_orderkey AS paper_id, l_linenumber AS part, min(l_returnflag) <> 'R' AS ok, CASE WHEN min(l_returnflag) = 'R' THEN 'failed part '||l_linenumber END AS error, 'text ![](images/a.png) of '||CAST(floor(min(l_quantity)) AS INTEGER) AS markdown FROM lineitem GROUP BY l_orderkey, l_linenumber"),
     "sblocks": (
         (),
-        f"""SELECT paper_id, pos AS ord, printf('blk_%06d', pos) AS block_id, printf('sec_%04d', pos // 3) AS section_id, substring(line, 1, 60) AS summary_text, {pick(('background', 'method', 'result', 'limitation', 'other'), 'paper_id * 7 + pos')} AS role, {pick(('high', 'medium', 'low', 'other'), '(paper_id * 7 + pos) // 2')} AS importance, string_split(substring(line, 1, 30), ' ') AS concepts
+        f"""SELECT paper_id, pos AS ord, printf('blk_%06d', pos) AS block_id, printf('sec_%04d', pos // 3) AS section_id, line AS summary_text, {pick(('background', 'method', 'result', 'limitation', 'other'), 'paper_id * 7 + pos')} AS role, {pick(('high', 'medium', 'low', 'other'), '(paper_id * 7 + pos) // 2')} AS importance, string_split(line, ' ') AS concepts
           FROM (SELECT doc_id AS paper_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))""",
     ),
     "ssections": (("sblocks",), "SELECT paper_id, section_id, min(ord) AS pos, array_to_string(list(summary_text ORDER BY ord)[1:3], ' ') AS summary, arg_min(role, ord) AS role, list(block_id ORDER BY ord) AS block_ids FROM sblocks GROUP BY paper_id, section_id"),

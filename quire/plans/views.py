@@ -72,9 +72,8 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("l_orderkey").alias("paper_id"), F.col("l_linenumber").alias("part"), (F.col("flag") != "R").alias("ok"), F.when(F.col("flag") == "R", F.concat(F.lit("failed part "), F.col("l_linenumber"))).alias("error"), F.concat(F.lit("text ![](images/a.png) of "), F.col("quantity").cast("int")).alias("markdown"))
 
 
-def summary_blocks(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Block summaries as a provider would give them, from lines of documents: whole ones, or their first characters."""
-    first = lambda n: F.col("line") if whole else F.substring("line", 1, n)
+def summary_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block summaries as a provider would give them, from the lines of documents."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     h = F.col("paper_id") * 7 + F.col("pos")
     pick = lambda values, x: F.get(F.array(*map(F.lit, values)), (x % len(values)).cast("int"))
@@ -83,10 +82,10 @@ def summary_blocks(spark: SparkSession, sf_dir: str, whole: bool = False) -> Dat
         F.col("pos").alias("order"),
         F.format_string("blk_%06d", "pos").alias("block_id"),
         F.format_string("sec_%04d", F.floor(F.col("pos") / 3).cast("int")).alias("section_id"),
-        first(60).alias("summary_text"),
+        F.col("line").alias("summary_text"),
         pick(("background", "method", "result", "limitation", "other"), h).alias("role"),
         pick(("high", "medium", "low", "other"), F.floor(h / 2)).alias("importance"),
-        F.split(first(30), " ").alias("concepts"),
+        F.split("line", " ").alias("concepts"),
     )
 
 

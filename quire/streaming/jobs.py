@@ -12,9 +12,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quire.sources.sinks import latest, write_version
+
 JOBS = "event STRING, paper_id STRING, attempt INT, at TIMESTAMP, state STRING, ok BOOLEAN, error STRING, bundle_path STRING, converter STRING"
 RUNS = "event STRING, at TIMESTAMP, run_id STRING, command STRING, elapsed_seconds DOUBLE, path STRING, stage STRING, count INT"
 
@@ -24,14 +27,19 @@ def job_log(spark: SparkSession, folder: str, schema: str = JOBS) -> DataFrame:
     return spark.readStream.schema(schema).json(folder)
 
 
-def pairs(jobs: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Each start with its finish; a start without one comes out once the watermark has passed it, with finished_at null."""
+def pairs(jobs: DataFrame, delay: str = "1 hour", horizon: str = "30 days") -> DataFrame:
+    """Each start with its finish, however long after it within ``horizon``.
+
+    A start without one comes out with finished_at null once the watermark, ``delay`` behind
+    the latest event, is past its horizon; what finishes later than that, or before its
+    start, is not paired.  State is bounded by the starts and finishes of one horizon.
+    """
     key = lambda name: F.coalesce("paper_id", F.lit("")).alias(f"{name}_paper")
     number = lambda name: F.coalesce("attempt", F.lit(0)).alias(f"{name}_attempt")
     started = jobs.where("event = 'conversion-started'").select(key("s"), number("s"), F.col("at").alias("started_at")).withWatermark("started_at", delay)
     finished = jobs.where("event = 'conversion-finished'").select(key("f"), number("f"), F.col("at").alias("finished_at"), "ok").withWatermark("finished_at", delay)
     same = (F.col("s_paper") == F.col("f_paper")) & (F.col("s_attempt") == F.col("f_attempt"))
-    near = (F.col("finished_at") >= F.col("started_at")) & (F.col("finished_at") <= F.col("started_at") + F.expr(f"interval {delay}"))
+    near = (F.col("finished_at") >= F.col("started_at")) & (F.col("finished_at") <= F.col("started_at") + F.expr(f"interval {horizon}"))
     return started.join(finished, same & near, "leftOuter").select(F.col("s_paper").alias("paper_id"), F.col("s_attempt").alias("attempt"), "started_at", "finished_at", "ok")
 
 
@@ -84,18 +92,26 @@ def versioned_upsert(spark: SparkSession, folder: str, merge: Callable[[DataFram
     """
 
     def work(batch: DataFrame, number: int) -> None:
-        before = latest(spark, folder, number)
-        merge(before, batch).write.mode("overwrite").parquet(f"{folder}/v={number:09d}")
+        write_version(merge(latest(spark, folder, number), batch), folder, number)
 
     return work
 
 
-def latest(spark: SparkSession, folder: str, below: int | None = None) -> DataFrame | None:
-    """The last version of such a table, or the last before a number."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    numbers = [int(x.getPath().getName()[2:]) for x in fs.listStatus(path) if x.getPath().getName().startswith("v=")]
-    done = [n for n in numbers if (below is None or n < below) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v={n:09d}/_SUCCESS"))]
-    return spark.read.parquet(f"{folder}/v={max(done):09d}") if done else None
+class Progress(StreamingQueryListener):
+    """Hands what queries report of themselves to a sink: (event, details) at their start, at each step, and at their end."""
+
+    def __init__(self, sink: Callable[[str, dict], None]):
+        self.sink = sink
+
+    def onQueryStarted(self, event) -> None:
+        self.sink("run-started", {"run_id": str(event.runId), "stage": event.name})
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.sink("stage-progress", {"run_id": str(p.runId), "stage": p.name, "count": p.numInputRows})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.sink("run-finished", {"run_id": str(event.runId), "ok": event.exception is None, "error": event.exception})

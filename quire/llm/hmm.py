@@ -152,8 +152,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield added()
 
 
+def _among(words: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words would stand among known ones (sorted), and whether they do."""
+    at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
+    return at, known[at] == words if len(known) else np.zeros(len(words), bool)
+
+
 def _asked(shared: Broadcast):
-    """(block, at, word) of the words of blocks (block, words) that are not frequent."""
+    """(block, at, word) of the words of blocks (block, words) that are not frequent; ``at`` is their place among those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value[0]
@@ -161,39 +167,53 @@ def _asked(shared: Broadcast):
             for part in tokens.slices(batch, 1):
                 for block, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     words = np.frombuffer(raw, np.int64)
-                    at = np.flatnonzero(~_among(words, frequent)[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block)), pa.array(at.astype(np.int32)), pa.array(words[at])], ["block", "at", "word"])
+                    rare = words[~_among(words, frequent)[1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rare), block)), pa.array(np.arange(len(rare), dtype=np.int32)), pa.array(rare)], ["block", "at", "word"])
 
     return run
 
 
-def _among(words: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where words would stand among known ones (sorted), and whether they do."""
-    at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
-    return at, known[at] == words if len(known) else np.zeros(len(words), bool)
+def _sums(own: np.ndarray, docs: np.ndarray, times: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of n documents the logarithms of its tokens' counts, and how many of them are above 0."""
+    return np.bincount(docs, times * np.log10(count + 0.5)[own], minlength=n), np.bincount(docs, times * (count > 0)[own], minlength=n).astype(np.uint32)
 
 
-def _summed(shared: Broadcast):
-    """(block, row, logs, n_known) of a block's documents, from its row and the counts found for its rarer words."""
+def _begun(shared: Broadcast):
+    """(block, each, docs, times, logs, known) of blocks (block, words, each, docs, times): sums over frequent words, and where the others are."""
 
-    def run(blocks: pa.Table, found: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = shared.value
-        out = []
-        for r in blocks.to_pylist():
-            words = np.frombuffer(r["words"], np.int64)
-            at, there = _among(words, frequent)
-            count = np.zeros(len(words), np.int64)
-            count[there] = counts[at[there]]
-            count[found["at"].to_numpy()] = found["n"].to_numpy()
-            own = np.repeat(np.arange(len(words)), np.frombuffer(r["each"], np.uint32))
-            docs, times = np.frombuffer(r["docs"], np.uint32), np.frombuffer(r["times"], np.uint32).astype(np.int64)
-            logs, known = np.bincount(docs, times * np.log10(count + 0.5)[own]), np.bincount(docs, times * (count > 0)[own])
-            out.append(pa.table({"block": pa.array(np.full(len(logs), r["block"])), "row": pa.array(np.arange(len(logs), dtype=np.int32)), "logs": pa.array(logs), "n_known": pa.array(known.astype(np.int64))}))
-        return pa.concat_tables(out) if out else pa.table({"block": pa.array([], pa.int64()), "row": pa.array([], pa.int32()), "logs": pa.array([], pa.float64()), "n_known": pa.array([], pa.int64())})
+        for batch in batches:
+            for part in tokens.slices(batch, (1, 3, 4)):
+                for r in part.to_pylist():
+                    words, each = np.frombuffer(r["words"], np.int64), np.frombuffer(r["each"], np.uint32)
+                    docs, times = np.frombuffer(r["docs"], np.uint32), np.frombuffer(r["times"], np.uint32).astype(np.int64)
+                    at, there = _among(words, frequent)
+                    own, n = np.repeat(np.arange(len(words)), each), int(docs.max()) + 1  # every document has its end token
+                    top = there[own]
+                    logs, known = _sums(at[own[top]], docs[top], times[top], counts, n)
+                    left = [each[~there], docs[~top], times[~top].astype(np.uint32), logs, known]
+                    yield pa.RecordBatch.from_arrays([pa.array([r["block"]]), *(pa.array([x.tobytes()], pa.binary()) for x in left)], ["block", "each", "docs", "times", "logs", "known"])
 
     return run
 
 
+_SUMMED = pa.schema([("block", pa.int64()), ("row", pa.int32()), ("logs", pa.float64()), ("n_known", pa.int64())])
+
+
+def _summed(blocks: pa.Table, found: pa.Table) -> pa.Table:
+    """(block, row, logs, n_known) of a block's documents, from what was begun and the counts found for its rarer words."""
+    out = []
+    for r in blocks.to_pylist():
+        each, docs, times = (np.frombuffer(r[k], np.uint32) for k in ("each", "docs", "times"))
+        logs, known = np.frombuffer(r["logs"], np.float64), np.frombuffer(r["known"], np.uint32).astype(np.int64)
+        count = np.zeros(len(each), np.int64)
+        count[found["at"].to_numpy()] = found["n"].to_numpy()
+        more, seen = _sums(np.repeat(np.arange(len(each)), each), docs, times, count, len(logs))
+        out.append(pa.table([pa.array(np.full(len(logs), r["block"])), pa.array(np.arange(len(logs), dtype=np.int32)), pa.array(logs + more), pa.array(known + seen)], schema=_SUMMED))
+    return pa.concat_tables(out) if out else _SUMMED.empty_table()
+
+
 def _windows(sequences: list[np.ndarray], p: Params) -> tuple[np.ndarray, np.ndarray]:
     """(windows x tokens) of classes, padded by the class after the last, and each window's sequence."""
     count = np.array([-(-len(s) // p.window) for s in sequences], np.int64)
@@ -353,7 +373,8 @@ def score(docs: DataFrame, p: Params = Params(), held_out: tuple[int, int] = (5,
     shared = docs.sparkSession.sparkContext.broadcast((top["word"].to_numpy(), top["n"].to_numpy()))
     asked = blocks.select("block", "words").mapInArrow(tokens.tidied(_asked(shared)), "block long, at int, word long")
     found = asked.join(counts.where(~often).select("word", "n"), "word").select("block", "at", "n")
-    sums = blocks.select("block", "words", "each", "docs", "times").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_summed(shared), "block long, row int, logs double, n_known long")
+    begun = blocks.select("block", "words", "each", "docs", "times").mapInArrow(tokens.tidied(_begun(shared)), "block long, each binary, docs binary, times binary, logs binary, known binary")
+    sums = begun.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_summed, "block long, row int, logs double, n_known long")
 
     model = first_model(totals, p)
     training = texts.where("not held_out")

@@ -182,7 +182,7 @@ ARTIFACTS = {
     "summary_json": "extracts/summary/summary.json", "summary_md": "extracts/summary/summary.md", "source_map_json": "extracts/summary/source-map.json",
 }
 #: Those of which the content is told too, by the name it has there.
-SIDECARS = {"conversion": "conversion_json", "repair": "repair_json", "summary": "summary_json", "source_map": "source_map_json"}
+SIDECARS = {"conversion_file": "conversion_json", "repair_file": "repair_json", "summary_file": "summary_json", "source_map_file": "source_map_json"}
 
 
 def expected_artifacts(papers: DataFrame) -> DataFrame:

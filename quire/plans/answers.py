@@ -54,10 +54,10 @@ def inspect_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _sidecars(papers)
     file = lambda where, name: papers.where(where).select(F.concat("bundle_path", F.lit(f"/{name}")).alias("path"), F.lit("file").alias("kind"), F.length("name").alias("bytes"))
     files = file("has_markdown", "paper.md").union(file("has_pdf", "original.pdf")).union(texts.select("path", F.lit("file"), F.length("text")))
-    rows = L.inspected(papers.withColumnRenamed("conversion", "state"), files, texts)
-    read = F.coalesce(*(F.get_json_object("conversion", f"$.{k}") for k in ("title", "value", "error")))
+    rows = L.inspected(papers, files, texts)
+    read = F.coalesce(*(F.get_json_object("conversion_file", f"$.{k}") for k in ("title", "value", "error")))
     states = F.map_values("artifacts")
-    return rows.select("doc_id", F.size("artifacts").alias("artifacts"), F.size(F.filter(states, lambda x: x["exists"])).alias("existing"), F.col("artifacts")["paper_md"]["bytes"].alias("markdown_bytes"), read.alias("conversion"), F.col("summary"))
+    return rows.select("doc_id", F.size("artifacts").alias("artifacts"), F.size(F.filter(states, lambda x: x["exists"])).alias("existing"), F.col("artifacts")["paper_md"]["bytes"].alias("markdown_bytes"), read.alias("conversion"), F.col("summary_file").alias("summary"))
 
 
 @query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN title WHEN 1 THEN '' ELSE 'invalid JSON in p'||doc_id END AS said FROM papers", "papers")

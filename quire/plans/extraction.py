@@ -33,7 +33,7 @@ def prompt(task: str, *fields: Column | str) -> Column:
 
 def _ordered(*fields: str) -> Column:
     """The rows of a group as one list in the order of their first field, without that field."""
-    inner = F.array_sort(F.collect_list(F.struct(*fields)))
+    inner = F.array_sort(F.collect_list(F.struct(F.col(fields[0]).alias("_order"), *fields[1:])))
     return F.transform(inner, lambda x: F.struct(*(x[f].alias(f) for f in fields[1:])))
 
 

@@ -67,6 +67,7 @@ def test_gates(spark):
 
 def test_extraction_from_end_to_end(spark):
     docs = spark.createDataFrame([(1, "# T\n\n## Method\n\nWe measure things here.\n\nAnd more things there.\n")], "paper_id int, markdown string")
-    blocks, sections = extract(docs)
+    got = extract(docs)
+    blocks, sections = got.blocks, got.sections
     assert [r["summary_text"] for r in blocks.orderBy("order").collect()] == ["We measure things here.", "And more things there."]
     assert [(r["heading"], len(r["block_ids"])) for r in sections.collect()] == [("Method", 2)]

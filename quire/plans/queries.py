@@ -313,13 +313,13 @@ def _fields(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
     docs = V.table(spark, sf_dir, "documents")
     conf = lambda k: F.get(F.array(F.lit("low"), F.lit("medium"), F.lit("high"), F.lit(None)), ((F.col("doc_id") + k + shift) % 4).cast("int"))
     row = lambda field, value, k: F.struct(F.lit(field).alias("field"), value.alias("value"), F.lit(f"s{shift}").alias("source"), conf(k).alias("confidence"))
-    title = F.when((F.col("doc_id") % 6 == 1) & F.lit(shift > 0), F.lit("aB title")).otherwise(F.substring(F.split("text", "\n")[0], 1, 30 + shift))
+    title = F.when((F.col("doc_id") % 6 == 1) & F.lit(shift > 0), F.lit("aB title")).otherwise(F.concat("text", F.lit(f" v{shift}")))
     rows = [row("title", title, 0), row("year", F.when(F.col("doc_id") % 3 != shift, (F.col("doc_id") % 90 + 1930 + shift).cast("string")), 1), row("language", F.col("lang"), 2)]
     return docs.select(F.col("doc_id").alias("paper_id"), F.explode(F.array(*rows)).alias("r")).select("paper_id", "r.*")
 
 
 _C = lambda k, s: f"([ 'low', 'medium', 'high', NULL])[1 + (doc_id + {k} + {s}) % 4]"
-_F = lambda s: f"SELECT doc_id AS paper_id, 'title' AS field, {'CASE WHEN doc_id % 6 = 1 THEN ' + repr('aB title') + ' ELSE substring(string_split(text, chr(10))[1], 1, ' + str(30 + s) + ') END' if s else 'substring(string_split(text, chr(10))[1], 1, 30)'} AS value, 's{s}' AS source, {_C(0, s)} AS confidence FROM documents UNION ALL SELECT doc_id, 'year', CASE WHEN doc_id % 3 <> {s} THEN CAST(doc_id % 90 + 1930 + {s} AS VARCHAR) END, 's{s}', {_C(1, s)} FROM documents UNION ALL SELECT doc_id, 'language', lang, 's{s}', {_C(2, s)} FROM documents"
+_F = lambda s: f"SELECT doc_id AS paper_id, 'title' AS field, {"CASE WHEN doc_id % 6 = 1 THEN 'aB title' ELSE text||' v1' END" if s else "text||' v0'"} AS value, 's{s}' AS source, {_C(0, s)} AS confidence FROM documents UNION ALL SELECT doc_id, 'year', CASE WHEN doc_id % 3 <> {s} THEN CAST(doc_id % 90 + 1930 + {s} AS VARCHAR) END, 's{s}', {_C(1, s)} FROM documents UNION ALL SELECT doc_id, 'language', lang, 's{s}', {_C(2, s)} FROM documents"
 _RANK = lambda c: f"CASE {c} WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 0 END"
 _BAD = r"(regexp_matches(rtrim(u.value), '[\\/|]$') OR contains(u.value, chr(65533)) OR (coalesce(e.value, '') <> '' AND length(regexp_replace(u.value, '\PL', '', 'g')) >= 20 AND upper(u.value) = u.value) OR regexp_matches(u.value, '[a-z][A-Z]'))"
 
@@ -350,7 +350,7 @@ def title_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Smith Lee' END AS creator FROM documents")
 def title_prefix_creator(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = V.table(spark, sf_dir, "documents")
-    title = T.collapse(F.concat(F.lit("On "), F.substring("text", 1, 25)))
+    title = T.collapse(F.concat(F.lit("On "), "text"))
     m = F.col("doc_id") % 3
     previous = F.when(m == 0, F.concat(F.lit("Smith  Lee – "), title)).when(m == 1, F.concat(F.lit("2 Smith - "), title)).otherwise(title)
     return docs.select("doc_id", M.creator_before_title(previous, title).alias("creator"))
@@ -358,11 +358,11 @@ def title_prefix_creator(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""SELECT doc_id, CASE WHEN found THEN regexp_extract(stem, '^(.+?)\s+-\s+(\d{4})\s+-\s+(.+)$', 3) ELSE stem END AS title, CASE WHEN found THEN 'Ab'||doc_id END AS creator, CASE WHEN found THEN CAST(1950 + doc_id % 70 AS BIGINT) END AS year, CASE WHEN found THEN 'filename' ELSE 'filename-stem' END AS title_source
-FROM (SELECT doc_id, doc_id % 4 <> 3 AS found, CASE WHEN doc_id % 4 <> 3 THEN 'Ab'||doc_id||' et al. - '||(1950 + doc_id % 70)||' - T'||substring(regexp_replace(text, '\s+', ' ', 'g'), 1, 8)||'.' ELSE 'unknown-'||doc_id END AS stem FROM documents)"""
+FROM (SELECT doc_id, doc_id % 4 <> 3 AS found, CASE WHEN doc_id % 4 <> 3 THEN 'Ab'||doc_id||' et al. - '||(1950 + doc_id % 70)||' - T'||regexp_replace(text, '\s+', ' ', 'g')||'.' ELSE 'unknown-'||doc_id END AS stem FROM documents)"""
 )
 def filename_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
-    stem = F.when(d % 4 != 3, F.concat(F.lit("Ab"), d, F.lit(" et al. - "), 1950 + d % 70, F.lit(" - T"), F.substring(T.collapse(F.col("text")), 1, 8), F.lit("."))).otherwise(F.concat(F.lit("unknown-"), d))
+    stem = F.when(d % 4 != 3, F.concat(F.lit("Ab"), d, F.lit(" et al. - "), 1950 + d % 70, F.lit(" - T"), T.collapse(F.col("text")), F.lit("."))).otherwise(F.concat(F.lit("unknown-"), d))
     return V.table(spark, sf_dir, "documents").select("doc_id", M.from_file_name(stem).alias("m")).select("doc_id", "m.title", "m.creator", "m.year", "m.title_source")
 
 
@@ -398,7 +398,7 @@ def ascii_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "documents").select("doc_id", T.ascii_slug(F.col("text")).alias("slug"))
 
 
-_NAMED = "SELECT coalesce(collection, 'inbox') AS root, substring(name, 1, 9)||CASE WHEN doc_id % 8 = 0 THEN '-2' ELSE '' END AS name, bundle_path AS path FROM papers"
+_NAMED = "SELECT coalesce(collection, 'inbox') AS root, 'Paper '||(doc_id // 3 % 5)||CASE WHEN doc_id % 8 = 0 THEN '-2' ELSE '' END AS name, bundle_path AS path FROM papers"
 
 
 @query(
@@ -409,7 +409,7 @@ SELECT root, name, path, unique_name FROM walk""",
     "papers",
 )
 def name_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = V.papers(spark, sf_dir).select(F.coalesce("collection", F.lit("inbox")).alias("root"), F.concat(F.substring("name", 1, 9), F.when(F.col("doc_id") % 8 == 0, "-2").otherwise("")).alias("name"), F.col("bundle_path").alias("path"))
+    items = V.papers(spark, sf_dir).select(F.coalesce("collection", F.lit("inbox")).alias("root"), F.concat(F.lit("Paper "), F.floor(F.col("doc_id") / 3) % 5, F.when(F.col("doc_id") % 8 == 0, "-2").otherwise("")).alias("name"), F.col("bundle_path").alias("path"))
     return I.unique_names(items)
 
 
@@ -718,14 +718,14 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _current(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     row = lambda field, value: F.struct(F.lit(field).alias("field"), value.alias("value"))
-    fields = F.explode(F.array(row("title", F.substring("text", 1, 9)), row("year", F.when(d % 6 == 1, "2001").otherwise("1990")), row("language", F.col("lang")))).alias("r")
+    fields = F.explode(F.array(row("title", F.col("text")), row("year", F.when(d % 6 == 1, "2001").otherwise("1990")), row("language", F.col("lang")))).alias("r")
     rows = V.table(spark, sf_dir, "documents").select(d.alias("paper_id"), fields)
     return rows.select("paper_id", "r.field", "r.value", F.when(F.col("paper_id") % 8 == 2, "user").otherwise("detected").alias("source"), F.lit("high").alias("confidence"))
 
 
 @query(
     """SELECT paper_id, field, CASE WHEN taken THEN new ELSE value END AS value, CASE WHEN taken THEN 'repair' ELSE source END AS source FROM (SELECT coalesce(e.paper_id, c.paper_id) AS paper_id, coalesce(e.field, c.field) AS field, e.value, e.source, c.new, c.new IS NOT NULL AS taken FROM
-  (SELECT doc_id AS paper_id, f AS field, CASE f WHEN 'title' THEN substring(text, 1, 9) WHEN 'year' THEN CASE WHEN doc_id % 6 = 1 THEN '2001' ELSE '1990' END ELSE lang END AS value, CASE WHEN doc_id % 8 = 2 THEN 'user' ELSE 'detected' END AS source FROM documents, (SELECT unnest(['title', 'year', 'language']) AS f)) e
+  (SELECT doc_id AS paper_id, f AS field, CASE f WHEN 'title' THEN text WHEN 'year' THEN CASE WHEN doc_id % 6 = 1 THEN '2001' ELSE '1990' END ELSE lang END AS value, CASE WHEN doc_id % 8 = 2 THEN 'user' ELSE 'detected' END AS source FROM documents, (SELECT unnest(['title', 'year', 'language']) AS f)) e
   FULL JOIN (SELECT paper_id, field, new FROM ("""
     + _CHANGES
     + """) WHERE field <> 'volume' AND field <> 'language' AND confidence <> 'low' AND evidence IS NOT NULL AND NOT (paper_id % 8 = 2 AND field <> 'doi') AND new <> '' AND NOT (field = 'year' AND new = '999') AND NOT (field = 'year' AND paper_id % 6 = 1)) c ON e.paper_id = c.paper_id AND e.field = c.field)"""

@@ -62,8 +62,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "papers": (
         (),
-        """SELECT d.doc_id, 'sha256:'||sha256(text) AS id, 'Paper '||substring(string_split(text, chr(10))[1], 1, 40) AS name, CASE WHEN d.doc_id % 5 <> 4 THEN source END AS collection, CASE WHEN d.doc_id % 5 = 4 THEN 'inbox/p'||d.doc_id ELSE 'collections/'||source||'/p'||d.doc_id END AS bundle_path,
-          substring(string_split(text, chr(10))[1], 1, 100) AS title, CASE d.doc_id % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' WHEN 2 THEN NULL ELSE 'done' END AS conversion, CASE quality WHEN 1 THEN 'complete' WHEN 0 THEN 'partial' END AS metadata_status,
+        """SELECT d.doc_id, 'sha256:'||sha256(text) AS id, 'Paper '||replace(text, chr(10), ' ') AS name, CASE WHEN d.doc_id % 5 <> 4 THEN source END AS collection, CASE WHEN d.doc_id % 5 = 4 THEN 'inbox/p'||d.doc_id ELSE 'collections/'||source||'/p'||d.doc_id END AS bundle_path,
+          text AS title, CASE d.doc_id % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' WHEN 2 THEN NULL ELSE 'done' END AS conversion, CASE quality WHEN 1 THEN 'complete' WHEN 0 THEN 'partial' END AS metadata_status,
           d.doc_id % 5 AS n_previous_names, d.doc_id % 11 <> 0 AS has_markdown, d.doc_id % 13 <> 0 AS has_pdf FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     ),
     "jobs": (

@@ -33,10 +33,10 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         "doc_id",
         F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("id"),
-        F.concat(F.lit("Paper "), F.substring(F.split("text", "\n")[0], 1, 40)).alias("name"),
+        F.concat(F.lit("Paper "), F.translate("text", "\n", " ")).alias("name"),
         F.when(F.col("doc_id") % 5 == 4, F.lit(None)).otherwise(F.col("source")).alias("collection"),
         F.when(F.col("doc_id") % 5 == 4, F.concat(F.lit("inbox/p"), F.col("doc_id"))).otherwise(F.concat(F.lit("collections/"), F.col("source"), F.lit("/p"), F.col("doc_id"))).alias("bundle_path"),
-        F.substring(F.split("text", "\n")[0], 1, 100).alias("title"),
+        F.col("text").alias("title"),
         conversion.alias("conversion"),
         F.when(F.col("quality") == 1, "complete").when(F.col("quality") == 0, "partial").alias("metadata_status"),
         (F.col("doc_id") % 5).cast("int").alias("n_previous_names"),

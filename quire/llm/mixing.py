@@ -36,7 +36,7 @@ MOST = 3.0
 #: Ranges that each level of the search for a source's cut divides ranks into.
 RANGES = 4096
 #: Weight of a document by its number of words; steps of weights a doubling, and the doublings they span either way.
-LENGTH_POWER = 0.25
+LENGTH_POWER = 0.125
 STEPS, SPAN = 8, 32
 
 

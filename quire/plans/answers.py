@@ -23,7 +23,8 @@ from quire.sources import config as G
 from quire.sources import sinks as K
 from quire.sources.files import json_or_empty
 
-d = F.col("doc_id")
+def doc() -> Column:
+    return F.col("doc_id")
 
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def of_path(c: str = "path") -> Column:
 
 def _sidecars(papers: DataFrame) -> DataFrame:
     """Conversion files: objects, lists, and texts that are no JSON."""
-    m = d % 3
+    m = doc() % 3
     text = F.when(m == 0, F.to_json(F.struct("title"))).when(m == 1, "[1]").otherwise("{bad")
     return papers.where("conversion is not null").select(F.concat("bundle_path", F.lit("/conversion.json")).alias("path"), text.alias("text"))
 
@@ -73,15 +74,15 @@ def sidecar_or_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def doctor_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = V.papers(spark, sf_dir)
-    facts = papers.select(F.lit("convert-pdf").alias("executable"), (d % 2 == 0).alias("wanted"), (d % 4 != 0).alias("exists"), F.when(d % 6 == 0, "exit code 1").alias("error"))
-    found = D.audit(D.invalid_records(papers.withColumn("_corrupt", d % 17 == 0)), D.invalid_conversions(_sidecars(papers)), D.local_converter_issues(facts), D.missing_config(spark, "library", there=False))
+    facts = papers.select(F.lit("convert-pdf").alias("executable"), (doc() % 2 == 0).alias("wanted"), (doc() % 4 != 0).alias("exists"), F.when(doc() % 6 == 0, "exit code 1").alias("error"))
+    found = D.audit(D.invalid_records(papers.withColumn("_corrupt", doc() % 17 == 0)), D.invalid_conversions(_sidecars(papers)), D.local_converter_issues(facts), D.missing_config(spark, "library", there=False))
     return found.groupBy("code").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 3 = 0 OR (doc_id % 3 = 1 AND doc_id % 7 = 0)")
 def invalid_creators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.when(d % 3 == 0, F.lit(" \t")).when((d % 3 == 1) & (d % 7 == 0), F.lit(None)).otherwise(F.col("source"))
-    rows = docs_of(spark, sf_dir).select(F.concat(F.lit("inbox/p"), d).alias("bundle_path"), F.array(F.struct(F.lit("Li").alias("name"), F.lit("author").alias("role")), F.struct(name.alias("name"), F.lit("editor").alias("role"))).alias("creators"))
+    name = F.when(doc() % 3 == 0, F.lit(" \t")).when((doc() % 3 == 1) & (doc() % 7 == 0), F.lit(None)).otherwise(F.col("source"))
+    rows = docs_of(spark, sf_dir).select(F.concat(F.lit("inbox/p"), doc()).alias("bundle_path"), F.array(F.struct(F.lit("Li").alias("name"), F.lit("author").alias("role")), F.struct(name.alias("name"), F.lit("editor").alias("role"))).alias("creators"))
     return D.invalid_creators(rows).select(of_path())
 
 
@@ -89,7 +90,7 @@ def invalid_creators(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corrupt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs of whole texts as JSON lines, of which some broke off."""
     whole, broken = F.to_json(F.struct("text")), F.instr("text", "the") % 7 + 1
-    line = F.explode(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.struct(i.alias("number"), F.when((d % 5 == 0) & (i == broken), F.rtrim(whole, F.lit("}"))).when(i == 3, " ").otherwise(whole).alias("line")))).alias("l")
+    line = F.explode(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.struct(i.alias("number"), F.when((doc() % 5 == 0) & (i == broken), F.rtrim(whole, F.lit("}"))).when(i == 3, " ").otherwise(whole).alias("line")))).alias("l")
     rows = docs_of(spark, sf_dir).select("doc_id", line).select("doc_id", "l.*")
     rows = rows.where((F.col("line") != " ") | (F.col("number") != 3))
     bad = rows.where(F.col("line").rlike(r"\S") & F.try_parse_json("line").isNull())
@@ -115,7 +116,7 @@ def settings_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id FROM papers WHERE collection IN ('src1', 'src4') OR (collection = 'src2' AND doc_id % 2 = 0)", "papers")
 def collection_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = V.papers(spark, sf_dir)
-    return papers.where(L.matches_collection({"src1", "src4"}) | L.matches_collection("src2") & (d % 2 == 0) & L.matches_collection(None)).select("doc_id")
+    return papers.where(L.matches_collection({"src1", "src4"}) | L.matches_collection("src2") & (doc() % 2 == 0) & L.matches_collection(None)).select("doc_id")
 
 
 @query("SELECT id, name, collection, bundle_path, conversion, metadata_status, title, doc_id FROM papers WHERE contains(lower(bundle_path), 'p7') AND bundle_path = (SELECT min(bundle_path) FROM papers WHERE contains(lower(bundle_path), 'p7') OR contains(lower(name), 'zzzz'))", "papers")
@@ -134,8 +135,8 @@ def paper_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fast_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What file names say, whole texts as their titles, and PDFs of some of them."""
-    stem = F.when(d % 4 != 3, F.concat(F.lit("Ab"), d, F.lit(" et al. - "), 1950 + d % 70, F.lit(" - T"), T.collapse(F.col("text")))).otherwise(F.concat(F.lit("unknown-"), d))
-    pdf = M.pdf_details(F.lit("Own title"), F.when((d % 2 == 1) & (d % 3 == 0), "Di Fu and Ed Go"))
+    stem = F.when(doc() % 4 != 3, F.concat(F.lit("Ab"), doc(), F.lit(" et al. - "), 1950 + doc() % 70, F.lit(" - T"), T.collapse(F.col("text")))).otherwise(F.concat(F.lit("unknown-"), doc()))
+    pdf = M.pdf_details(F.lit("Own title"), F.when((doc() % 2 == 1) & (doc() % 3 == 0), "Di Fu and Ed Go"))
     rows = docs_of(spark, sf_dir).select("doc_id", M.fast_metadata(M.file_name_details(stem), pdf).alias("m"))
     names = F.array_join(F.transform("m.metadata.creators", lambda x: x["name"]), "|")
     return rows.select("doc_id", "m.metadata.title", names.alias("creators"), "m.metadata.year", F.col("m.sources")["title"].alias("title_source"), F.col("m.sources")["creators"].alias("creators_source"), F.col("m.sources")["language"].alias("language_source"), "m.metadata.language")
@@ -143,9 +144,9 @@ def fast_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Converted documents: a title, a line of authors in several forms, a year and identifiers, then the whole text as one line."""
-    title = F.when(d % 7 == 3, "aB title").otherwise(F.concat(F.lit("Study "), d))
-    who = F.when(d % 4 == 0, "Authors: Ann Lee, Bo Li\n\n").when(d % 4 == 1, "Cy Do, Di Fu\n\n").otherwise("")
-    year, ids = F.when(d % 3 == 0, "Year: 2001\n").otherwise(""), F.when(d % 5 == 0, F.concat(F.lit("received, doi 10.5555/x"), d, F.lit(".\n"))).otherwise("")
+    title = F.when(doc() % 7 == 3, "aB title").otherwise(F.concat(F.lit("Study "), doc()))
+    who = F.when(doc() % 4 == 0, "Authors: Ann Lee, Bo Li\n\n").when(doc() % 4 == 1, "Cy Do, Di Fu\n\n").otherwise("")
+    year, ids = F.when(doc() % 3 == 0, "Year: 2001\n").otherwise(""), F.when(doc() % 5 == 0, F.concat(F.lit("received, doi 10.5555/x"), doc(), F.lit(".\n"))).otherwise("")
     body = F.concat(F.lit("\nreceived "), F.translate("text", "\n", " "))
     return docs_of(spark, sf_dir).select("doc_id", F.concat(F.lit("# "), title, F.lit("\n\n"), who, year, ids, body).alias("markdown"))
 
@@ -174,7 +175,7 @@ def canonical_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.substring(text, F.lit(2), F.length(text) - 2)
     one = F.concat(F.lit('{"b":1,"a":{"y":2,"x":3},'), inner, F.lit("}"))
     two = F.concat(F.lit("{ "), inner, F.lit(' , "a" : {"x":3, "y":2}, "b": 1 }'))
-    other = F.when(d % 2 == 0, one).otherwise(F.concat(F.lit('{"b":2,"a":{"y":2,"x":3},'), inner, F.lit("}")))
+    other = F.when(doc() % 2 == 0, one).otherwise(F.concat(F.lit('{"b":2,"a":{"y":2,"x":3},'), inner, F.lit("}")))
     return docs_of(spark, sf_dir).select("doc_id", (T.json_hash(one) == T.json_hash(two)).alias("same"), (T.json_hash(one) == T.json_hash(other)).alias("equal"))
 
 
@@ -183,10 +184,10 @@ def canonical_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of pending papers, with titles of file names."""
-    confidence = F.when(d % 2 == 0, "low").otherwise("high")
+    confidence = F.when(doc() % 2 == 0, "low").otherwise("high")
     return V.papers(spark, sf_dir).select(
-        "doc_id", "id", F.concat(F.lit("n"), d).alias("name"), "bundle_path", M.empty_metadata(F.concat(F.lit("Ann Lee - Study "), d)).alias("metadata"), F.create_map(F.lit("title"), F.lit("filename")).alias("metadata_sources"), F.create_map(F.lit("title"), confidence).alias("metadata_confidence"),
-        (d % 6 == 0).alias("name_locked"), F.array().cast("array<string>").alias("previous_names"), F.lit("pending").alias("conversion"), F.lit("partial").alias("metadata_status"), F.lit("fast").alias("naming_status"),
+        "doc_id", "id", F.concat(F.lit("n"), doc()).alias("name"), "bundle_path", M.empty_metadata(F.concat(F.lit("Ann Lee - Study "), doc())).alias("metadata"), F.create_map(F.lit("title"), F.lit("filename")).alias("metadata_sources"), F.create_map(F.lit("title"), confidence).alias("metadata_confidence"),
+        (doc() % 6 == 0).alias("name_locked"), F.array().cast("array<string>").alias("previous_names"), F.lit("pending").alias("conversion"), F.lit("partial").alias("metadata_status"), F.lit("fast").alias("naming_status"),
     )
 
 
@@ -201,7 +202,7 @@ _WHO = "CASE doc_id % 4 WHEN 0 THEN 'Ann Lee|Bo Li' WHEN 1 THEN 'Cy Do|Di Fu' EL
 )
 def finish_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results taken into records: titles by confidence, creators before titles, failures, names that need review."""
-    results = _converted(spark, sf_dir).join(_records(spark, sf_dir).select("doc_id", "bundle_path"), "doc_id").select("bundle_path", (d % 9 != 0).alias("ok"), F.when(d % 9 != 0, F.col("markdown")).alias("markdown"))
+    results = _converted(spark, sf_dir).join(_records(spark, sf_dir).select("doc_id", "bundle_path"), "doc_id").select("bundle_path", (doc() % 9 != 0).alias("ok"), F.when(doc() % 9 != 0, F.col("markdown")).alias("markdown"))
     rows = C.finished(_records(spark, sf_dir), results)
     return rows.select("doc_id", "conversion", "metadata.title", F.array_join(F.transform("metadata.creators", lambda x: x["name"]), "|").alias("creators"), F.col("naming_status").alias("naming"), F.col("metadata_sources")["title"].alias("title_source"))
 
@@ -213,7 +214,7 @@ def finish_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rename_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that metadata give, of which many are the same in a folder; locked ones stay."""
-    record = F.struct(F.concat(F.lit("Study "), d % 10).alias("title"), F.array(F.struct(F.lit("Li").alias("name"), F.lit("author").alias("role"))).alias("creators"), F.lit(None).cast("int").alias("year"), F.lit("en").alias("language"), F.lit(None).cast("string").alias("doi"))
+    record = F.struct(F.concat(F.lit("Study "), doc() % 10).alias("title"), F.array(F.struct(F.lit("Li").alias("name"), F.lit("author").alias("role"))).alias("creators"), F.lit(None).cast("int").alias("year"), F.lit("en").alias("language"), F.lit(None).cast("string").alias("doi"))
     rows = C.renamed(_records(spark, sf_dir).withColumn("metadata", record), F.lit("now"))
     return rows.select("doc_id", "bundle_path", F.col("old_path").isNotNull().alias("renamed"))
 
@@ -337,6 +338,13 @@ def relation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.checked_relations(relations, papers, blocks).select("collection_key", "pos", "warning")
 
 
+@query("SELECT DISTINCT CAST(paper_id % 5 AS VARCHAR) AS collection_key, block_id AS id FROM (SELECT paper_id, block_id, row_number() OVER (PARTITION BY paper_id ORDER BY CASE importance WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC, ord) AS rank FROM sblocks) WHERE rank <= 5", "sblocks")
+def pooled_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The important blocks of any paper of a collection."""
+    top = Y.important_blocks(V.summary_blocks(spark, sf_dir)).groupBy("paper_id").agg(F.collect_list("block_id").alias("important_block_ids"))
+    return Y.pooled_ids(top.withColumn("collection_key", (F.col("paper_id") % 5).cast("string")), "important_block_ids")
+
+
 def _collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _hashes(spark, sf_dir).groupBy("collection_key").agg(F.count("*").alias("papers"))
     return own.select("collection_key", F.when(F.length("collection_key") == 4, "own text").alias("overview"), F.array(*(F.lit(f"t{i}") for i in range(7))).alias("themes"), F.array(F.lit("r")).alias("representatives"), "papers")
@@ -417,14 +425,14 @@ ORACLES["block_requests"] = _WALK + "\nSELECT paper_id, count(*) AS requests, CA
 
 @query("SELECT doc_id, text AS title, doc_id AS year, 'Document '||doc_id AS first_heading FROM documents")
 def paper_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    papers = docs_of(spark, sf_dir).select(d.alias("paper_id"), F.col("text").alias("title"), d.alias("year"))
+    papers = docs_of(spark, sf_dir).select(doc().alias("paper_id"), F.col("text").alias("title"), doc().alias("year"))
     rows = X.brief(papers, B.split_blocks(V.markdown(spark, sf_dir)))
     return rows.select(F.col("paper_id").alias("doc_id"), "brief.title", "brief.year", F.col("brief.headings")[0].alias("first_heading"))
 
 
 @query("SELECT paper_id, CAST(length(string_agg(text, chr(10)||chr(10) ORDER BY ord)) > 0 AS BOOLEAN) AS has_head, 'p'||paper_id AS bundle_name FROM blocks WHERE ord < 40 GROUP BY paper_id", "blocks")
 def metadata_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    papers = V.papers(spark, sf_dir).select(d.alias("paper_id"), "title", "bundle_path")
+    papers = V.papers(spark, sf_dir).select(doc().alias("paper_id"), "title", "bundle_path")
     found = X.metadata_requests(X.evidence(papers, B.markdown_head(B.split_blocks(V.markdown(spark, sf_dir)))))
     at = lambda path: F.get_json_object("messages", path)
     return found.select("paper_id", (F.length(at("$.evidence.markdown_head")) > 0).alias("has_head"), at("$.evidence.bundle_name").alias("bundle_name"))
@@ -471,7 +479,7 @@ def summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repair_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = B.split_blocks(V.markdown(spark, sf_dir)).limit(0)
     metadata = P.metadata_verdicts(_changes(spark, sf_dir), _current(spark, sf_dir))
-    rows = K.repair_rows(metadata, P.patch_verdicts(_patches(blocks), blocks), docs_of(spark, sf_dir).select(d.alias("paper_id")), F.lit("now"), dry_run=True)
+    rows = K.repair_rows(metadata, P.patch_verdicts(_patches(blocks), blocks), docs_of(spark, sf_dir).select(doc().alias("paper_id")), F.lit("now"), dry_run=True)
     return rows.select("paper_id", "dry_run", F.size("changes").alias("changes"), F.col("metadata_changed").alias("changed"))
 
 
@@ -481,6 +489,6 @@ ORACLES["repair_report"] = f"WITH gate AS ({ORACLES['metadata_gate']})\n" + ORAC
 @query("SELECT doc_id, text, doc_id % 2 = 0 AS even, CAST(NULL AS VARCHAR) AS none FROM documents")
 def emitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads as JSON lines and back; nulls are stated."""
-    line = K.emitted(F.struct("doc_id", "text", (d % 2 == 0).alias("even"), F.lit(None).cast("string").alias("none")))
+    line = K.emitted(F.struct("doc_id", "text", (doc() % 2 == 0).alias("even"), F.lit(None).cast("string").alias("none")))
     rows = docs_of(spark, sf_dir).select(line.alias("j")).where(F.col("j").endswith('"none":null}'))
     return rows.select(F.from_json("j", "doc_id long, text string, even boolean, none string").alias("r")).select("r.*")

@@ -5,8 +5,12 @@ What changes a library gives the rows to write; ``quire.sources.sinks`` writes t
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +32,22 @@ from quire.sources.providers import Converter, EchoProvider, LocalFolder, Provid
 EventSink = Callable[[str, dict], None]
 
 
+class Reporter:
+    """Tells a sink of one run's events, each with the run's id, command and seconds so far."""
+
+    def __init__(self, command: str, sink: EventSink):
+        self.command, self.sink, self.run_id, self.began = command, sink, f"run:{uuid.uuid4()}", time.monotonic()
+
+    def emit(self, event: str, **details) -> None:
+        at = datetime.now(UTC).isoformat()
+        self.sink(event, {"event": event, "at": at, "run_id": self.run_id, "command": self.command, "elapsed_seconds": round(time.monotonic() - self.began, 3), **details})
+
+
+def log_sink(spark: SparkSession, folder: str) -> EventSink:
+    """Adds each event to a log folder as a file of one line, which ``streaming.jobs`` reads as a stream."""
+    return lambda event, details: K.write_text(spark, f"{folder}/{uuid.uuid4().hex}.json", json.dumps(details) + "\n")
+
+
 def list_papers(papers: DataFrame) -> DataFrame:
     return L.in_path_order(L.listing(papers))
 

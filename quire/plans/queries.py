@@ -471,10 +471,10 @@ def remote_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.remote_results(events, items).select("data_id", "state", "final")
 
 
-@query("SELECT chunk, CASE WHEN count(*) = count(u) AND min(u) = max(u) THEN min(u) END AS batch_id FROM (SELECT CASE WHEN state = 'running' AND data_id IS NOT NULL THEN batch_id END AS u, bundle_path[13:15]||'/'||coalesce(batch_id, '')||state AS chunk FROM conversions) GROUP BY chunk", "conversions")
+@query("SELECT chunk, CASE WHEN count(*) = count(u) AND min(u) = max(u) THEN min(u) END AS batch_id FROM (SELECT CASE WHEN state = 'running' AND converter = 'batch-api' AND data_id IS NOT NULL THEN batch_id END AS u, bundle_path[13:15]||'/'||coalesce(batch_id, '')||state AS chunk FROM conversions) GROUP BY chunk", "conversions")
 def resume_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.conversions(spark, sf_dir).withColumn("chunk", F.concat(F.substring("bundle_path", 13, 3), F.lit("/"), F.coalesce("batch_id", F.lit("")), "state"))
-    return I.resumable(rows)
+    return I.resumable(rows, converter="batch-api")
 
 
 # Summaries.
@@ -677,7 +677,8 @@ def library_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT key FROM (SELECT DISTINCT source AS key FROM documents WHERE doc_id % 2 = 0 UNION SELECT DISTINCT source FROM documents WHERE doc_id % 5 = 0)")
 def key_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = V.table(spark, sf_dir, "documents")
-    return docs.where("doc_id % 2 = 0").select(F.col("source").alias("key")).union(docs.where("doc_id % 5 = 0").select("source")).distinct()
+    keys = docs.select("doc_id", F.col("source").alias("key"))
+    return Y.union_of_keys(keys.where("doc_id % 2 = 0"), keys.where("doc_id % 5 = 0"), by="key")
 
 
 @query("SELECT paper_id AS collection_key, string_agg(v, '|' ORDER BY i) AS ids FROM (SELECT paper_id, i, v FROM (SELECT paper_id, unnest(range(0, len(block_ids))) AS i, unnest(block_ids) AS v FROM ssections WHERE section_id = 'sec_0001') JOIN (SELECT paper_id, block_id AS v FROM sblocks WHERE ord % 3 <> 1) USING (paper_id, v)) GROUP BY paper_id", "ssections", "sblocks")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import pathlib
+import shutil
 import subprocess
-import tempfile
 import time
+import uuid
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -63,24 +64,31 @@ class FixtureConverter:
 
 
 class LocalCommand:
-    """A converter that is a program: it is given a file and a folder, and leaves an archive's content or Markdown there."""
+    """A converter that is a program: it is given a file and a folder, and leaves its Markdown there.
+
+    Both are made below ``scratch``, for one call, and are gone after it.
+    """
 
     name = "local-command"
 
-    def __init__(self, command: list[str], seconds: float = 1800):
-        self.command, self.seconds = command, seconds
+    def __init__(self, command: list[str], scratch: str, seconds: float = 1800):
+        self.command, self.scratch, self.seconds = command, scratch, seconds
 
     def convert(self, content: bytes) -> str:
-        with tempfile.TemporaryDirectory() as folder:  # of one call on one executor; nothing of it is read elsewhere
-            given = pathlib.Path(folder, "original.pdf")
+        folder = pathlib.Path(self.scratch, uuid.uuid4().hex)
+        folder.mkdir(parents=True)
+        try:
+            given = folder / "original.pdf"
             given.write_bytes(content or b"")
-            done = subprocess.run([*self.command, str(given), folder], capture_output=True, text=True, timeout=self.seconds, check=False)
+            done = subprocess.run([*self.command, str(given), str(folder)], capture_output=True, text=True, timeout=self.seconds, check=False)
             if done.returncode:
                 raise RuntimeError(done.stderr.strip() or f"exit code {done.returncode}")
-            found = sorted(pathlib.Path(folder).glob("**/*.md"))
+            found = sorted(folder.glob("**/*.md"))
             if not found:
                 raise ValueError("no Markdown in what the converter left")
             return found[0].read_text(encoding="utf-8", errors="replace")
+        finally:
+            shutil.rmtree(folder, ignore_errors=True)
 
 
 class EchoProvider:

@@ -1,7 +1,6 @@
 """Commands from import to validation on small libraries, and the settings they go by."""
 
 import json
-import os
 import sys
 
 import pytest
@@ -213,7 +212,7 @@ def test_settings(spark, tmp_path):
     assert ("library", "config_error") in {(r["area"], r["fact"]) for r in G.diagnostics(spark, str(tmp_path), {}).collect()}
 
 
-def test_converters(spark):
+def test_converters(spark, tmp_path):
     class Batches:
         name = "batches"
 
@@ -224,10 +223,21 @@ def test_converters(spark):
     got = {r["bundle_path"]: (r["ok"], r["error"]) for r in P.converted_in_batches(files, Batches(), 2).collect()}
     assert got == {"a": (True, None), "b": (True, None), "c": (False, "no result")}
     command = [sys.executable, "-c", "import sys, os; open(os.path.join(sys.argv[2], 'x.md'), 'w').write('# ' + open(sys.argv[1]).read())"]
-    assert P.LocalCommand(command).convert(b"text") == "# text"
+    assert P.LocalCommand(command, str(tmp_path / "s")).convert(b"text") == "# text" and list((tmp_path / "s").iterdir()) == []
     with pytest.raises(ValueError, match="no Markdown"):
-        P.LocalCommand([sys.executable, "-c", "pass"]).convert(b"")
-    assert os.path.basename(sys.executable)
+        P.LocalCommand([sys.executable, "-c", "pass"], str(tmp_path)).convert(b"")
+
+
+def test_run_events(spark, tmp_path):
+    told = []
+    run = C.Reporter("convert", lambda name, details: told.append(details))
+    run.emit("run-started", path="library")
+    run.emit("run-finished", ok=True)
+    assert [t["event"] for t in told] == ["run-started", "run-finished"] and len({t["run_id"] for t in told}) == 1 and told[0]["path"] == "library" and told[1]["elapsed_seconds"] >= told[0]["elapsed_seconds"]
+    logged = C.Reporter("convert", C.log_sink(spark, f"{tmp_path}/runs"))
+    logged.emit("run-started")
+    logged.emit("run-finished", ok=False)
+    assert sorted(r["event"] for r in spark.read.json(f"{tmp_path}/runs").collect()) == ["run-finished", "run-started"]
 
 
 def test_reports_as_markdown(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from quire.functions import text as T
 
 # Fixed values.
 RANKS = {"low": 1, "medium": 2, "high": 3}
-FILE_NAME = r"(?U)\A(.+?)\s+-\s+(\d{4})\s+-\s+(.+)\z"
+FILE_NAME = r"(?Ud)\A(.+?)\s+-\s+(\d{4})\s+-\s+(.+)\z"
 DOI = r"(?i)\b(10\.\d{4,9}/[^\s<>'\"{}|\\^`\]]+)"
 ARXIV = r"(?i)\barXiv\s*:\s*([0-9]{4}\.[0-9]{4,5}(?:v\d+)?)"
 DOI_CANDIDATE = r"10\.\d{4,9}/[-._;()/:A-Za-z0-9]+"
@@ -51,8 +53,12 @@ def valid_creators(items: Column) -> Column:
     return items.isNotNull() & F.forall(items, lambda x: F.coalesce(T.strip(x["name"]) != "", F.lit(False)))
 
 
-def from_file_name(stem: Column) -> Column:
-    """(title, creator, year, language, title_source, title_confidence) of "creator - year - title"."""
+def _clean_stem(c: Column) -> Column:
+    return T.strip(T.without_controls(c))
+
+
+def from_file_name(stem: Column, clean: Callable[[Column], Column] = _clean_stem) -> Column:
+    """(title, creator, year, language, title_source, title_confidence) of "creator - year - title", as ``clean`` leaves it."""
 
     def parts(s: Column) -> Column:
         found = s.rlike(FILE_NAME)
@@ -65,7 +71,7 @@ def from_file_name(stem: Column) -> Column:
             F.when(title != "", F.when(found, "filename").otherwise("filename-stem")).alias("title_source"), F.when(title != "", F.when(found, "medium").otherwise("low")).alias("title_confidence"),
         )
 
-    return T.let(parts, T.strip(T.without_controls(stem)))
+    return T.let(parts, clean(stem))
 
 
 def display_name(creator: Column, year: Column, title: Column, language: Column) -> Column:

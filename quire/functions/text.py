@@ -15,6 +15,8 @@ NOT_IN_FILE_NAMES = r'[/:*?"<>|\\]+'
 CJK = r"[一-鿿]"
 #: White space of any kind.
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space as the \s of SQL patterns has it.
+PLAIN_WHITE = "\t\n\f\r "
 #: What ends a line, besides \n.
 LINE_ENDS = "\r\n|[\r\x0b\x0c\x1c-\x1e\x85  ]"
 
@@ -30,6 +32,11 @@ def strip(c: Column) -> Column:
     return F.trim(c, F.lit(WHITE))
 
 
+def strip_plain(c: Column) -> Column:
+    """Without the white space of SQL patterns at both ends."""
+    return strip_chars(c, PLAIN_WHITE)
+
+
 def strip_chars(c: Column, chars: str) -> Column:
     """Without any of the given characters at both ends."""
     return F.trim(c, F.lit(chars))
@@ -39,6 +46,11 @@ def collapse(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def one_blank(c: Column) -> Column:
+    """White space of SQL patterns as one blank, at the ends too."""
+    return F.regexp_replace(c, f"[{PLAIN_WHITE}]+", " ")
+
+
 def without_controls(c: Column) -> Column:
     return F.regexp_replace(c, CONTROL, "")
 

@@ -46,6 +46,11 @@ def collapse(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def lower_plain(c: Column) -> Column:
+    """Lower case character by character, as SQL has it: one letter for each, whatever stands next to it."""
+    return F.lower(F.translate(c, "\u0130\u03a3", "i\u03c3"))
+
+
 def one_blank(c: Column) -> Column:
     """White space of SQL patterns as one blank, at the ends too."""
     return F.regexp_replace(c, f"[{PLAIN_WHITE}]+", " ")

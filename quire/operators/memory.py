@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,8 @@ from quire.operators.library import first_by, memory_collection
 # Fixed values.
 IMPORTANCE = {"high": 3, "medium": 2, "low": 1}
 MATERIAL_TYPES = ("dataset_or_sample", "instrument")
+#: Column to Column: how texts are stripped, and what makes two of them equal.
+Form = Callable[[Column], Column]
 
 
 def importance_rank(c: Column) -> Column:
@@ -26,10 +29,10 @@ def important_blocks(blocks: DataFrame, key: str = "paper_id", n: int = 5) -> Da
     return blocks.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(key, F.col("rank").cast("int").alias("rank"), "block_id", "section_id")
 
 
-def ordered_distinct(values: DataFrame, key: str, value: str = "value", pos: str = "pos", most: int | None = None) -> DataFrame:
+def ordered_distinct(values: DataFrame, key: str, value: str = "value", pos: str = "pos", most: int | None = None, strip: Form = T.strip, lower: Form = F.lower) -> DataFrame:
     """key, values: distinct without regard to case, in order of first appearance, in their first spelling; blanks go."""
-    rows = values.withColumn("_v", T.strip(F.col(value))).where("_v <> ''")
-    first = rows.groupBy(key, F.lower("_v").alias("_low")).agg(F.min_by("_v", pos).alias("_v"), F.min(pos).alias("_p"))
+    rows = values.withColumn("_v", strip(F.col(value))).where("_v <> ''")
+    first = rows.groupBy(key, lower(F.col("_v")).alias("_low")).agg(F.min_by("_v", pos).alias("_v"), F.min(pos).alias("_p"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("_p", "_v"))), lambda x: x["_v"])
     return first.groupBy(key).agg((listed if most is None else F.slice(listed, 1, most)).alias("values"))
 
@@ -46,15 +49,22 @@ def material(nodes: DataFrame, key: str = "paper_id") -> DataFrame:
     return nodes.where(F.col("type").isin(*MATERIAL_TYPES) & (F.coalesce("label", F.lit("")) != "")).groupBy(key).agg(F.min_by("label", "pos").alias("label"))
 
 
-def overview(sections: DataFrame, blocks: DataFrame, key: str = "paper_id") -> DataFrame:
-    """key, overview: the distinct summaries of the first two sections; without sections that of the first block, or nothing."""
+def overview(sections: DataFrame, blocks: DataFrame, key: str = "paper_id", strip: Form = T.strip, lower: Form = F.lower, blank: str | None = "") -> DataFrame:
+    """key, overview: the distinct summaries of the first two sections; without sections that of the first block, or nothing.
+
+    Of a paper whose only section is blank it is ``blank``.  Both sources meet in one aggregate, where rows without a key are a paper too.
+    """
     w = Window.partitionBy(key).orderBy("pos")
-    two = sections.withColumn("n", F.row_number().over(w)).where("n <= 2").select(key, F.col("summary").alias("value"), F.col("n").alias("pos"))
-    head = ordered_distinct(two, key).select(key, F.array_join("values", " ").alias("_o"))
-    has = sections.select(key).distinct().withColumn("_has", F.lit(True))
-    one = blocks.groupBy(key).agg(F.min_by("summary_text", "order").alias("_b"))
-    rows = has.join(one, key, "full_outer").join(head, key, "left")
-    return rows.select(key, F.coalesce(F.when(F.col("_has"), F.coalesce("_o", F.lit(""))).otherwise(T.strip(F.col("_b"))), F.lit("")).alias("overview"))
+    two = sections.withColumn("n", F.row_number().over(w)).where("n <= 2").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", F.coalesce(strip(F.col("summary")), F.lit("")).alias("v")))).alias("two"))
+
+    def text(values: Column) -> Column:
+        a, b = F.get(values, F.lit(0)), F.get(values, F.lit(1))
+        alone = F.when(a == "", F.lit(blank)).otherwise(a)
+        return F.when(b.isNull(), alone).when(a == "", b).when((b == "") | (lower(a) == lower(b)), a).otherwise(F.concat(a, F.lit(" "), b))
+
+    heads = two.select(key, F.lit(0).alias("_n"), T.let(text, F.transform("two", lambda x: x["v"])).alias("overview"))
+    first = blocks.groupBy(key).agg(F.min_by("summary_text", "order").alias("_b")).select(key, F.lit(1).alias("_n"), F.coalesce(strip(F.col("_b")), F.lit("")).alias("overview"))
+    return heads.unionByName(first).groupBy(key).agg(F.min_by(F.struct("overview"), "_n")["overview"].alias("overview"))
 
 
 def paper_memory(sections: DataFrame, blocks: DataFrame, nodes: DataFrame, key: str = "paper_id") -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import metadata as M
+from quire.operators import memory as Y
 from quire.plans.queries import ORACLES, QUERIES
 
 TEXTS = [None, "", " ", "\n", "\n\n\n\n", " a", "a\n", "\n\n\nx\ny", "a\tb  c\r\nd", "\x0b", "\x0ba\x0b b\x0b", "\x1ca\x1f", "\u00a0", "\u00a0a\u00a0b\u00a0", "a\u2028b", "a\u2029", "\u2003", "a\u0085b", "\u3000x\u3000", "a\u200bb", "\ufeffa", "a\u00adb", "\ue000a", "a\x07b", "A - 2001 - B"]
@@ -37,7 +38,7 @@ def compared(name: str, spark, folder: str):
     return order(QUERIES[name](spark, folder).select(*want.columns).collect()), order(want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["filename_metadata"])
+@pytest.mark.parametrize("name", ["filename_metadata", "overview"])
 def test_odd_texts(name, spark, odd):
     got, want = compared(name, spark, odd)
     assert got == want
@@ -46,3 +47,10 @@ def test_odd_texts(name, spark, odd):
 def test_file_names_with_line_separators(spark):
     got = spark.range(1).select(M.from_file_name(F.lit("Lee - 2001 - a\u2028b")).alias("m")).first()["m"]
     assert (got["creator"], got["title"], got["title_source"]) == ("Lee", "a\u2028b", "filename")
+
+
+def test_overview_of_a_paper_without_key(spark):
+    sections = spark.createDataFrame([(None, 0, "a"), (None, 1, "A"), (1, 0, " ")], "paper_id int, pos int, summary string")
+    blocks = spark.createDataFrame([(None, 0, "x"), (1, 0, "y"), (2, 0, " z ")], "paper_id int, order int, summary_text string")
+    assert {r["paper_id"]: r["overview"] for r in Y.overview(sections, blocks).collect()} == {None: "a", 1: "", 2: "z"}
+    assert Y.overview(sections, blocks).count() == 3

@@ -37,6 +37,15 @@ def ordered_distinct(values: DataFrame, key: str, value: str = "value", pos: str
     return first.groupBy(key).agg((listed if most is None else F.slice(listed, 1, most)).alias("values"))
 
 
+def first_distinct(values: Column, most: int, strip: Form = T.strip, lower: Form = F.lower) -> Column:
+    """The first distinct of an array's values, as in ``ordered_distinct``.
+
+    Of several arrays in order these hold all that can be among the first ``most`` of all.
+    """
+    pick = lambda v, low: F.transform(F.slice(F.array_distinct(low), 1, most), lambda x: F.get(v, (F.array_position(low, x) - 1).cast("int")))
+    return T.let(lambda v: T.let(pick, v, F.transform(v, lower)), F.filter(F.transform(values, strip), lambda x: x != ""))
+
+
 def first_by_role(sections: DataFrame, blocks: DataFrame, role: str, key: str = "paper_id") -> DataFrame:
     """key, text: the first section summary of a role, else the first block summary of it."""
     s = sections.where((F.col("role") == role) & (F.coalesce("summary", F.lit("")) != "")).groupBy(key).agg(F.min_by("summary", "pos").alias("_s"))
@@ -67,20 +76,21 @@ def overview(sections: DataFrame, blocks: DataFrame, key: str = "paper_id", stri
     return heads.unionByName(first).groupBy(key).agg(F.min_by(F.struct("overview"), "_n")["overview"].alias("overview"))
 
 
-def paper_memory(sections: DataFrame, blocks: DataFrame, nodes: DataFrame, key: str = "paper_id") -> DataFrame:
+def paper_memory(sections: DataFrame, blocks: DataFrame, nodes: DataFrame, key: str = "paper_id", strip: Form = T.strip, lower: Form = F.lower, blank: str | None = "") -> DataFrame:
     """One row a paper: overview, problem, method, material and the lists, all joined on the paper's key."""
     role = lambda r: blocks.where(F.col("role") == r).select(key, F.col("summary_text").alias("value"), F.struct(F.lit(0).alias("a"), F.col("order").cast("long").alias("b"), F.lit(0).alias("c")).alias("pos"))
     of = lambda t: nodes.where(F.col("type") == t).select(key, F.col("label").alias("value"), F.struct(F.lit(1).alias("a"), F.col("pos").cast("long").alias("b"), F.lit(0).alias("c")).alias("pos"))
-    concepts = blocks.select(key, "order", F.posexplode("concepts").alias("i", "value")).select(key, "value", F.struct(F.lit(0).alias("a"), F.col("order").cast("long").alias("b"), F.col("i").alias("c")).alias("pos"))
+    concepts = blocks.select(key, "order", F.posexplode(first_distinct(F.col("concepts"), 12, strip, lower)).alias("i", "value")).select(key, "value", F.struct(F.lit(0).alias("a"), F.col("order").cast("long").alias("b"), F.col("i").alias("c")).alias("pos"))
+    listed = lambda values, most: ordered_distinct(values, key, most=most, strip=strip, lower=lower)
     lists = {
-        "key_results": ordered_distinct(role("result"), key, most=5),
-        "limitations": ordered_distinct(role("limitation").unionByName(of("limitation")), key, most=5),
-        "concepts": ordered_distinct(concepts.unionByName(of("concept")), key, most=12),
-        "methods": ordered_distinct(of("method"), key, most=12),
-        "measurements": ordered_distinct(of("measurement"), key, most=12),
+        "key_results": listed(role("result"), 5),
+        "limitations": listed(role("limitation").unionByName(of("limitation")), 5),
+        "concepts": listed(concepts.unionByName(of("concept")), 12),
+        "methods": listed(of("method"), 12),
+        "measurements": listed(of("measurement"), 12),
     }
     top = important_blocks(blocks, key).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block_id"))), lambda x: x["block_id"]).alias("important_block_ids"))
-    out = overview(sections, blocks, key)
+    out = overview(sections, blocks, key, strip, lower, blank)
     out = out.join(first_by_role(sections, blocks, "background", key).withColumnRenamed("text", "research_problem"), key, "left")
     out = out.join(first_by_role(sections, blocks, "method", key).withColumnRenamed("text", "method"), key, "left")
     out = out.join(material(nodes, key).withColumnRenamed("label", "system_or_material"), key, "left").join(top, key, "left")

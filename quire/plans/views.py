@@ -76,7 +76,8 @@ def summary_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block summaries as a provider would give them, from the lines of documents."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     h = F.col("paper_id") * 7 + F.col("pos")
-    pick = lambda values, x: F.get(F.array(*map(F.lit, values)), (x % len(values)).cast("int"))
+    at = lambda r, n: F.when(r < 0, r + n + 1).otherwise(r).cast("int")  # noqa: E731  # places below 1 count from the end in the SQL
+    pick = lambda values, x: F.get(F.array(*map(F.lit, values)), at(x % len(values), len(values)))
     return docs.select(
         "paper_id",
         F.col("pos").alias("order"),
@@ -84,7 +85,7 @@ def summary_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string("sec_%04d", F.floor(F.col("pos") / 3).cast("int")).alias("section_id"),
         F.col("line").alias("summary_text"),
         pick(("background", "method", "result", "limitation", "other"), h).alias("role"),
-        pick(("high", "medium", "low", "other"), F.floor(h / 2)).alias("importance"),
+        pick(("high", "medium", "low", "other"), F.expr("(paper_id * 7 + pos) div 2")).alias("importance"),
         F.split("line", " ").alias("concepts"),
     )
 

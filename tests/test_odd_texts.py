@@ -17,10 +17,10 @@ LABELS = [None, "", " ", "\u00a0", " x ", "X", "\u00a0x", "\u0130", "i\u0307", "
 
 @pytest.fixture(scope="module")
 def odd(tmp_path_factory):
-    """Every text by each remainder of 5 that a key can have, and rows without a key."""
+    """Every text by each remainder of 5 that a key can have, negative keys, and a row without a key."""
     folder = tmp_path_factory.mktemp("odd")
     texts = [t for t in TEXTS for _ in range(5)] + ["x\ny\nz\nu"]
-    ids = [*range(len(texts) - 1), None]
+    ids = [*range(-9, len(texts) - 10), None]
     documents = {"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "lang": ["en"] * len(ids), "source": ["src1"] * len(ids), "n_chars": [len(t or "") for t in texts]}
     part = {"p_partkey": list(range(3000)), "p_name": [LABELS[i // 200 % len(LABELS)] for i in range(3000)]}
     pq.write_table(pa.table(documents), folder / "documents.parquet")
@@ -38,7 +38,7 @@ def compared(name: str, spark, folder: str):
     return order(QUERIES[name](spark, folder).select(*want.columns).collect()), order(want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["filename_metadata", "overview"])
+@pytest.mark.parametrize("name", ["filename_metadata", "overview", "paper_memory"])
 def test_odd_texts(name, spark, odd):
     got, want = compared(name, spark, odd)
     assert got == want
@@ -54,3 +54,12 @@ def test_overview_of_a_paper_without_key(spark):
     blocks = spark.createDataFrame([(None, 0, "x"), (1, 0, "y"), (2, 0, " z ")], "paper_id int, order int, summary_text string")
     assert {r["paper_id"]: r["overview"] for r in Y.overview(sections, blocks).collect()} == {None: "a", 1: "", 2: "z"}
     assert Y.overview(sections, blocks).count() == 3
+
+
+def test_first_distinct_of_each_block(spark):
+    """The first 12 of a paper, whatever blocks they stand in."""
+    words = [[f"w{i % 9}" for i in range(40)] + ["W1", "late"], ["", "W3", *(f"v{i}" for i in range(30))], [None, "u"]]
+    blocks = spark.createDataFrame([(1, i, f"b{i}", "s", "t", "other", "low", w) for i, w in enumerate(words)], "paper_id int, order int, block_id string, section_id string, summary_text string, role string, importance string, concepts array<string>")
+    sections = spark.createDataFrame([(1, "s", 0, "t", "other")], "paper_id int, section_id string, pos int, summary string, role string")
+    nodes = spark.createDataFrame([], "paper_id int, pos int, id string, type string, label string")
+    assert Y.paper_memory(sections, blocks, nodes).first()["concepts"] == [*(f"w{i}" for i in range(9)), "late", "v0", "v1"]
